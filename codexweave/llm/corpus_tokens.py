@@ -26,7 +26,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of this vocabulary. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: UTF-8 bytes of text in one block; a longer document is a block by itself.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 BLOCKS = "block long, doc_ids array<long>, lens array<int>, slots binary, words array<string>"
 
