@@ -21,17 +21,6 @@ MIN_PAGES = 8
 MIN_SHARE_PERCENT = 15
 
 
-def _sourced(pages: DataFrame, job_status: DataFrame) -> DataFrame:
-    """page_id, source_pdf, text of every page whose job has a source."""
-    jobs = job_value(job_status, "source_pdf")
-    return (
-        pages.where(F.col("page_id").isNotNull())
-        .select("page_id", "job_key", "text")
-        .join(jobs, "job_key")
-        .select("page_id", "source_pdf", "text")
-    )
-
-
 def frequent_hashes(pages: DataFrame, job_status: DataFrame, min_pages: int = MIN_PAGES, min_share_percent: int = MIN_SHARE_PERCENT) -> DataFrame:
     """``source_hash, line_hash, n_pages, source_pages, sample_page`` of the frequent lines.
 
@@ -40,22 +29,18 @@ def frequent_hashes(pages: DataFrame, job_status: DataFrame, min_pages: int = MI
     left out. ``sample_page`` is the least page_id with the line. 64-bit hashes are compared
     within one source only.
     """
-    hashed = _sourced(pages, job_status).select(
-        F.xxhash64("source_pdf").alias("source_hash"),
-        "page_id",
-        F.array_distinct(F.transform(lines_of(F.col("text")), lambda line: F.xxhash64(line))).alias("hashes"),
+    lines = pages.where(F.col("page_id").isNotNull()).select(
+        "job_key", "page_id", F.array_distinct(F.transform(lines_of(F.col("text")), lambda line: F.xxhash64(line))).alias("hashes")
     )
+    sources = job_value(job_status, "source_pdf").select("job_key", F.xxhash64("source_pdf").alias("source_hash"))
+    hashed = lines.where(F.size("hashes") > 0).join(sources, "job_key").select("source_hash", "page_id", "hashes")
     counted = (
         hashed.select("source_hash", "page_id", F.explode("hashes").alias("line_hash"))
         .groupBy("source_hash", "line_hash")
         .agg(F.count_distinct("page_id").alias("n_pages"), F.min("page_id").alias("sample_page"))
         .where(F.col("n_pages") >= min_pages)
     )
-    sizes = (
-        hashed.where(F.size("hashes") > 0)
-        .groupBy("source_hash")
-        .agg(F.count_distinct("page_id").alias("source_pages"))
-    )
+    sizes = hashed.groupBy("source_hash").agg(F.count_distinct("page_id").alias("source_pages"))
     enough = F.col("n_pages") * 100 >= F.col("source_pages") * min_share_percent
     return counted.join(sizes, "source_hash").where(enough)
 
@@ -68,32 +53,27 @@ def repeated_lines(pages: DataFrame, job_status: DataFrame, min_pages: int = MIN
     """
     frequent = frequent_hashes(pages, job_status, min_pages, min_share_percent)
     samples = frequent.groupBy("sample_page").agg(F.collect_set("line_hash").alias("wanted"))
-    texts = _sourced(pages, job_status).join(samples, F.col("page_id") == F.col("sample_page"))
-    lines = texts.select("source_pdf", "wanted", F.explode(lines_of(F.col("text"))).alias("line"))
-    return lines.where(F.array_contains("wanted", F.xxhash64("line"))).select("source_pdf", "line").distinct()
+    texts = pages.select("job_key", "page_id", "text").join(samples, F.col("page_id") == F.col("sample_page"))
+    lines = texts.select("job_key", F.explode(F.array_distinct(F.filter(lines_of(F.col("text")), lambda line: F.array_contains("wanted", F.xxhash64(line))))).alias("line"))
+    return lines.join(job_value(job_status, "source_pdf"), "job_key").select("source_pdf", "line").distinct()
 
 
 def without_repeated_lines(pages: DataFrame, job_status: DataFrame, min_pages: int = MIN_PAGES, min_share_percent: int = MIN_SHARE_PERCENT) -> DataFrame:
     """``page_id, source_pdf, text, n_removed``: each page's text without its source's repeated lines.
 
-    One row per distinct stored row of a page; the other lines stay as stored. A null text
-    stays null; pages of jobs without a source keep their text.
+    One row per page_id (re-delivered rows hold the same text); the other lines stay as
+    stored. A null text stays null; pages of jobs without a source keep their text.
     """
-    frequent = materialised(
+    drops = (
         frequent_hashes(pages, job_status, min_pages, min_share_percent)
         .groupBy("source_hash")
-        .agg(F.collect_set("line_hash").alias("drop")),
-        "repeated-lines",
-    )
-    sourced = (
-        pages.where(F.col("page_id").isNotNull())
-        .select("page_id", "job_key", "text")
-        .join(job_value(job_status, "source_pdf"), "job_key", "left")
-        .withColumn("source_hash", F.xxhash64("source_pdf"))
-        .join(frequent, "source_hash", "left")
+        .agg(F.collect_set("line_hash").alias("drop"))
     )
+    jobs = job_value(job_status, "source_pdf").withColumn("source_hash", F.xxhash64("source_pdf"))
+    jobs = materialised(jobs.join(drops, "source_hash", "left").select("job_key", "source_pdf", "drop"), "repeated-lines")
+    sourced = pages.where(F.col("page_id").isNotNull()).select("page_id", "job_key", "text").join(jobs, "job_key", "left")
     raw = F.split("text", "\n")
     kept = F.filter(raw, lambda line: ~F.coalesce(F.array_contains("drop", F.xxhash64(squeezed(line))), F.lit(False)))
     cleaned = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(raw) - F.size(kept))
-    return sourced.select("page_id", "source_pdf", cleaned.alias("text"), removed.cast("int").alias("n_removed")).distinct()
+    return sourced.select("page_id", "source_pdf", cleaned.alias("text"), removed.cast("int").alias("n_removed")).dropDuplicates(["page_id"])
