@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexweave.llm import corpus_tokens, encodings, repeated_lines, splitting
+from codexweave.llm import corpus_tokens, encodings, lookalikes, repeated_lines, splitting
 from codexweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), table(spark, sf_dir, "job_status"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.same_look(table(spark, sf_dir, "pages"))
+
+
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.forms(table(spark, sf_dir, "pages")).select("page_id", "form")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.wrongly_decoded(table(spark, sf_dir, "pages"))
 
@@ -49,7 +57,7 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded)}
 
 
 def oracle_sql() -> dict[str, str]:
