@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexweave.llm import corpus_tokens, encodings, lookalikes, repeated_lines, splitting
+from codexweave.llm import corpus_tokens, encodings, leakage, lookalikes, repeated_lines, splitting
 from codexweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,16 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.decoded(p7_ids(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
