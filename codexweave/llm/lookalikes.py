@@ -80,7 +80,7 @@ def folded(text: str) -> str:
     return unicodedata.normalize("NFC", text.replace("\r\n", "\n").translate(TABLE))
 
 
-_IDEOGRAPHS = "⺀-⿿぀-ヿ㐀-鿿豈-﫿가-힣\U00020000-\U0003ffff"
+_IDEOGRAPHS = "⺀-⿿぀-ヿ㐀-鿿豈-﫿가-힣\U00020000-\U0003ffff"
 #: Words of alphabetic scripts with what may stand within them unseen.
 WORD = re.compile(rf"[^\W\d_{_IDEOGRAPHS}](?:[^\W\d_{_IDEOGRAPHS}]|[̀-ͯ­​-‍⁠﻿])*")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexweave.llm import corpus_tokens, encodings, leakage, lookalikes, repeated_lines, splitting
+from codexweave.llm import corpus_tokens, encodings, leakage, lookalikes, repeated_lines, splitting, text_stats
 from codexweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats.structured(table(spark, sf_dir, "documents"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats.document_statistics(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
