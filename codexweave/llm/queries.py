@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexweave.llm import corpus_tokens, encodings, leakage, lookalikes, repeated_lines, splitting, text_stats
+from codexweave.llm import corpus_tokens, encodings, leakage, lookalikes, repeated_lines, scan_noise, splitting, text_stats
 from codexweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), table(spark, sf_dir, "job_status"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.noise(table(spark, sf_dir, "pages"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, sf_dir, "pages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_look(table(spark, sf_dir, "pages"))
 
@@ -73,7 +81,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_repaired, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
