@@ -250,7 +250,7 @@ class Editor:
             line = lines[i]
             for m in _STRAY.finditer(line):
                 yield i, "delete", m[0], "", _stray_features(line, m.start())
-            if i in dense or number_of(line):
+            if i in dense or numbers_of(line):
                 continue
             tokens = list(_TOKEN.finditer(line))
             for k, m in enumerate(tokens):
@@ -411,24 +411,24 @@ _CHAPTER = re.compile(
 EDGE = 4
 
 
-def number_of(line: str) -> tuple[str, int] | None:
-    """("arabic" or "roman", value) of a line that holds a number alone."""
+def numbers_of(line: str) -> list[tuple[str, int]]:
+    """("arabic" or "roman", value) as which a line that holds a number alone can be read."""
     m = _NUMBER_LINE.fullmatch(line.strip())
     if not m:
-        return None
-    body = m[1]
-    if any(c.isdigit() for c in body):
-        digits = body.translate(_DIGITS)
-        return ("arabic", int(digits)) if digits.isdigit() else None
-    if not _ROMAN.fullmatch(body):
-        return None
-    values = [_ROMAN_VALUES[c] for c in body.lower()]
-    return "roman", sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))
+        return []
+    body, out = m[1], []
+    digits = body.translate(_DIGITS)
+    if digits.isdigit():
+        out.append(("arabic", int(digits)))
+    if _ROMAN.fullmatch(body):
+        values = [_ROMAN_VALUES[c] for c in body.lower()]
+        out.append(("roman", sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))))
+    return out
 
 
 def name_of(line: str) -> str:
     """A line's letters and digits, without a page number before or after them."""
-    body = re.sub(r"^[\s\W_]*\d{1,4}[\s\W_]{2,}|[\s\W_]{2,}\d{1,4}[\s\W_]*$|\s+[ivxl]{1,6}\s*$", "", line.strip(), flags=re.IGNORECASE)
+    body = re.sub(r"^[\s\W_]*\d{1,4}(?:[\s\W_]{2,}|\s+)(?=\S)|\s[\s\W_]*\d{1,4}[\s\W_]*$|\s+[ivxl]{1,6}[\s\W_]*$", "", line.strip(), flags=re.IGNORECASE)
     return re.sub(r"[\W_]+", "", body).casefold()
 
 
@@ -446,7 +446,7 @@ def alike(a: str, b: str) -> bool:
     return row[-1] <= max(1, len(b) // 10)
 
 
-FURNITURE = "page_id long, job_key string, page_number int, printed int, line_no int, form string, value int, name string"
+FURNITURE = "page_id long, job_key string, book string, page_number int, printed int, line_no int, form string, value int, name string"
 
 
 def _furniture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,16 +464,16 @@ def _furniture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line = lines[i]
                 if len(line) > 120:
                     continue
-                if (value := number_of(line)) and value[1] < 1_000_000:
-                    rows.append((page, job, number, shown, i + 1, value[0], value[1], None))
+                if values := numbers_of(line):
+                    rows += [(page, job, book, number, shown, i + 1, form, value, None) for form, value in values]
                 elif i in edge and not garbled(line):
                     name = name_of(line)
                     if title and alike(name, title):
-                        rows.append((page, job, number, shown, i + 1, "title", 0, title))
+                        rows.append((page, job, book or job, number, shown, i + 1, "title", 0, title))
                     elif len(name) <= 90 and _CHAPTER.match(line.strip()) and not re.search(r"[。！？，；]|[.!?;]\s*$", line.strip()):
-                        rows.append((page, job, number, shown, i + 1, "chapter", 0, name))
-        columns = list(zip(*rows, strict=True)) or [()] * 8
-        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+                        rows.append((page, job, book or job, number, shown, i + 1, "chapter", 0, name))
+        columns = list(zip(*rows, strict=True)) or [()] * 9
+        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in FURNITURE.split(", ")])
 
 
@@ -482,7 +482,7 @@ def furniture(pages: DataFrame) -> DataFrame:
 
     A number is its page's own if it stands as far from page_number as most of its job's, or
     is the page's printed_page. A title counts on every page; a chapter's name where an
-    earlier page of the job had it, so the first, the chapter's opening, is none.
+    earlier page of the book, in any job, had it, so the first, the chapter's opening, is none.
     """
     columns = pages.where(F.col("page_id").isNotNull()).select(
         F.col("page_id").cast("long").alias("page_id"), "job_key", "book", F.col("page_number").cast("int").alias("page_number"), "printed_page", "text"
@@ -495,8 +495,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     own = (F.col("offset") == F.col("usual")) | ((F.col("form") == "arabic") & (F.col("value") == F.col("printed")))
     page_numbers = told.where(own).select("page_id", "line_no", F.lit("page_number").alias("kind"))
     chapters = found.where("form = 'chapter'")
-    first = chapters.groupBy("job_key", "name").agg(F.min("page_number").alias("opening"))
-    running = chapters.join(first, ["job_key", "name"]).where("page_number > opening")
+    first = chapters.groupBy("book", "name").agg(F.min("page_number").alias("opening"))
+    running = chapters.join(first, ["book", "name"]).where("page_number > opening")
     heads = running.select("page_id", "line_no").unionByName(found.where("form = 'title'").select("page_id", "line_no"))
     return page_numbers.unionByName(heads.withColumn("kind", F.lit("header"))).distinct()
 
