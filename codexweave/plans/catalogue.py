@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexweave.plans import drift
+from codexweave.plans import books, drift
+from codexweave.plans.books_sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(drift.QUERIES)
+    return books.QUERIES | drift.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
