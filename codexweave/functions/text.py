@@ -78,7 +78,7 @@ def garble_score(text: Column) -> Column:
     signs = F.regexp_count(text, F.lit(r"\(cid:\d+\)")) * 5 + F.regexp_count(text, F.lit("[�□▯■]")) * 3
     signs = signs + F.regexp_count(text, F.lit(r"[\p{C}&&[^\n\r\t]]")) * 2
     shown = total - F.regexp_count(text, F.lit(BLANKS))
-    meant = F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}²³¹⁰⁴-⁹₀-₉]"))
+    meant = F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒፩-፱]"))
     poor = F.when(shown > 0, F.greatest(F.lit(0.0), F.floor((F.lit(0.35) - meant / shown) * total))).otherwise(0.0)
     runs = F.aggregate(F.regexp_extract_all(text, F.lit(r"((.)\2{8,})"), F.lit(1)), F.lit(0), lambda n, run: n + F.length(run))
     score = F.least(F.lit(1.0), (signs + poor + runs) / F.greatest(total, F.lit(1)))
@@ -142,17 +142,17 @@ def front_matter(text: Column, page_number: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """Whole seconds as ``1h 02m 03s``, ``2m 03s`` or ``3s``; null and negatives give null."""
-    s = F.floor(seconds)
+    """Seconds as hours, minutes and seconds in words, 未知 for null; negatives count as 0."""
+    s = F.greatest(F.bround(seconds), F.lit(0)).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
-    full = F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, r)).when(m > 0, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", r))
-    return F.when(s >= 0, full)
+    minutes = F.when(m > 0, F.format_string("%d分%d秒", m, r)).otherwise(F.format_string("%d秒", r))
+    return F.when(s.isNull(), F.lit("未知")).when(h > 0, F.format_string("%d小时%d分%d秒", h, m, r)).otherwise(minutes)
 
 
 def safe_name(name: Column) -> Column:
-    """A file name without path separators, control characters or blanks at its ends."""
-    bare = stripped(F.regexp_replace(name, r"[\\/:*?\"<>|\p{Cntrl}]+", "_"))
-    return F.when(bare == "", F.lit("untitled")).otherwise(bare)
+    """A file name of letters, digits, dots and hyphens; other runs become one hyphen."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w\x{4E00}-\x{9FFF}.-]+", "-"), "^-+|-+$", "")
+    return F.when(bare == "", F.lit("未命名书籍")).otherwise(bare)
 
 
 def base_name(path: Column) -> Column:

@@ -87,3 +87,39 @@ def entry_ranges(starts: DataFrame, last_pages: DataFrame) -> DataFrame:
     following = F.lead("first_page").over(order) - 1
     rows = starts.withColumn("last_page", following).join(last_pages, "book", "left")
     return rows.select("book", "title", "first_page", F.coalesce("last_page", "max_page").alias("last_page"))
+
+
+#: A line with only a signature, which closes an entry, and a line that may open one. Fixed values.
+SIGNATURE = r"^\s*[（(]([\x{4E00}-\x{9FFF}·]{2,6})[）)]\s*$"
+ENTRY_TITLE = r"^\s*([\x{4E00}-\x{9FFF}][\x{4E00}-\x{9FFF}\w ]{1,30}?)(?:\(([a-zA-Z][a-zA-Z ._;,\-]+)\))?\s*$"
+
+
+def signed_entries(pages: DataFrame, title: str = ENTRY_TITLE, signature: str = SIGNATURE) -> DataFrame:
+    """``book, entry_no, title, author, first_page, last_page, text``: entries that end with a signature.
+
+    Between two signatures the first title line opens the entry; lines before it are left
+    out, and what follows the last signature is an entry without author. Signatures are
+    counted per page first, so the running count of a book is over its pages, not its lines,
+    and only one entry's lines ever meet.
+    """
+    lines = F.transform(T.split_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(x.alias("line"), x.rlike(signature).alias("ends")))
+    rows = pages.where("book IS NOT NULL").select("book", "page_number", "page_id", lines.alias("lines"))
+    counted = rows.select("book", "page_number", "page_id", F.size(F.filter("lines", lambda x: x["ends"])).alias("n"))
+    before = Window.partitionBy("book").orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("page_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select("book", "page_number", "page_id", F.posexplode("lines").alias("at", "x")).select("book", "page_number", "page_id", "at", "x.line", "x.ends")
+    placed = placed.withColumn("inside", F.coalesce(F.sum(F.col("ends").cast("int")).over(inner), F.lit(0))).join(offsets, "page_id")
+    placed = placed.withColumn("entry_no", F.col("base") + F.col("inside"))
+    place = F.struct("page_number", "page_id", "at")
+    opens = F.col("line").rlike(title) & ~F.col("ends")
+    start = F.min(F.when(opens, place)).over(Window.partitionBy("book", "entry_no"))
+    held = placed.withColumn("start", start).where(place >= F.col("start"))
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "page_id", "at", "line")))
+    return held.groupBy("book", "entry_no").agg(
+        F.regexp_extract(F.min_by("line", place), title, 1).alias("title"),
+        F.max(F.when(F.col("ends"), F.regexp_extract("line", signature, 1))).alias("author"),
+        F.min("page_number").alias("first_page"),
+        F.max("page_number").alias("last_page"),
+        T.stripped(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")).alias("text"),
+    )

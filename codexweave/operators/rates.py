@@ -67,3 +67,19 @@ def latest_states(events: DataFrame, key: str, order: list[str], state: Column,
 def after_cursor(events: DataFrame, cursor: int, limit: int, column: str = "event_id") -> DataFrame:
     """The next ``limit`` events after a cursor, in order: a page of a feed."""
     return events.where(F.col(column) > cursor).orderBy(column).limit(limit)
+
+
+def progress(latest: DataFrame) -> DataFrame:
+    """Adds progress in percent, seconds per page and seconds left to rows of counters.
+
+    Needs target_pages, processed_pages, elapsed_seconds and avg_seconds_per_page; unknown
+    stays null, a missing average is taken from elapsed time.
+    """
+    done, target = F.coalesce("processed_pages", F.lit(0)), F.coalesce("target_pages", F.lit(0))
+    speed = F.bround(F.coalesce(F.col("avg_seconds_per_page"), F.when(done > 0, F.col("elapsed_seconds") / done)), 2)
+    return latest.select(
+        "*",
+        F.when(target > 0, F.bround(done * 100.0 / target, 1)).otherwise(0.0).alias("progress_percent"),
+        speed.alias("seconds_per_page"),
+        F.bround(speed * F.greatest(target - done, F.lit(0))).cast("long").alias("seconds_left"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codexweave.functions import text as T
 from codexweave.operators import audit, capacity, chunks, classify, history, layout, library, pages, rates, rules
+from codexweave.sources import sinks
 from codexweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,3 +213,27 @@ def trial_percentiles(spark, d):
 @_query
 def capacity_matrix(spark, d):
     return capacity.candidate_matrix(spark, 16)
+
+
+@_query
+def job_progress(spark, d):
+    rows = table(spark, d, "job_status").select("snapshot_id", "job_key", "target_pages", "processed_pages", "elapsed_seconds", "avg_seconds_per_page").distinct()
+    return rates.progress(rows).select("snapshot_id", "job_key", "progress_percent", "seconds_per_page", "seconds_left")
+
+
+@_query
+def signed_entries(spark, d):
+    return chunks.signed_entries(pages.distinct_pages(table(spark, d, "pages")))
+
+
+@_query
+def audit_html_rows(spark, d):
+    return sinks.audit_html(pages.distinct_pages(table(spark, d, "pages")))
+
+
+@_query
+def source_states(spark, d):
+    """Sources by how far their best job came."""
+    rows = catalog_status_left_join(spark, d)
+    state = F.when(F.col("done") == 1, "done").when(F.coalesce(F.col("processed_pages"), F.lit(0)) > 0, "begun").otherwise("not begun")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n_sources"), F.sum(F.coalesce("processed_pages", F.lit(0))).alias("n_pages"))

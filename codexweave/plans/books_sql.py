@@ -170,4 +170,7 @@ q AS (SELECT book, page_number, list_extract({_filled("coalesce(text, '')")}, 1)
 s AS (SELECT book, title, min(page_number) AS first_page FROM q WHERE regexp_matches(title, '^(第\\s*\\d+\\s*章|卷\\s*\\d+|Chapter \\d+\\.)') GROUP BY book, title),
 x AS (SELECT book, max(page_number) AS max_page FROM p WHERE book IS NOT NULL GROUP BY book)
 SELECT s.book, s.title, s.first_page, coalesce(lead(first_page) OVER (PARTITION BY s.book ORDER BY first_page, title) - 1, max_page) AS last_page FROM s LEFT JOIN x USING (book)""",
+    "source_states": f"""WITH {_LATEST}, {_CATALOG}
+SELECT CASE WHEN done = 1 THEN 'done' WHEN coalesce(processed_pages, 0) > 0 THEN 'begun' ELSE 'not begun' END AS state, count(*) AS n_sources, sum(coalesce(processed_pages, 0))::BIGINT AS n_pages
+FROM catalog GROUP BY 1""",
 }

@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 #: Stored names of page fields by column. Fixed values.
 PAGE_NAMES = {
     "page_number": ("page_number", "页码"),
-    "printed_page": ("printed_page", "印刷页码"),
+    "printed_page": ("printed_page", "书内页码"),
     "text": ("text", "文本"),
     "confidence": ("confidence", "置信度"),
     "source": ("source", "来源"),
     "warnings": ("warnings", "警告"),
-    "blocks": ("blocks", "文本块"),
+    "blocks": ("blocks", "识别块"),
     "ocr_device": ("ocr_device", "识别设备"),
     "gpu_confirmed": ("gpu_confirmed", "图形处理器已确认"),
 }
 BLOCK = "array<struct<text:string,confidence:double,bbox:array<array<double>>>>"
 PAGE_TYPES = {"page_number": "int", "printed_page": "string", "text": "string", "confidence": "double", "source": "string", "warnings": "array<string>", "blocks": BLOCK, "ocr_device": "string", "gpu_confirmed": "boolean"}
 #: Labels of page sources and the values they stand for. Fixed values.
-SOURCE_LABELS = {"文本层": "pdf_text_layer", "飞桨": "paddleocr", "备用": "tesseract", "缓存": "page_cache", "空白页": "blank_page", "已有识别层": "existing_ocr_text_layer"}
+SOURCE_LABELS = {"PDF文本层": "pdf_text_layer", "现有OCR文本层": "existing_ocr_text_layer", "逐页缓存": "page_cache", "疑似空白页": "blank_page", "飞桨OCR": "paddleocr", "备用OCR": "tesseract"}
 #: Folders a library listing leaves out. Fixed values.
-SKIPPED_FOLDERS = (".git", ".venv", "node_modules", "__pycache__", "tmp", "temp", "cache", "output")
+SKIPPED_FOLDERS = (".git", ".pytest_cache", ".ruff_cache", ".venv", "__pycache__")
 
 
 def _either(names: tuple[str, ...], path: str = "") -> Column:
@@ -55,14 +55,14 @@ def read_json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def library_listing(spark: SparkSession, root: str) -> DataFrame:
+def library_listing(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
     """``path, file_name, size_bytes`` of the PDFs under ``root``; their content is not read.
 
-    The suffix may be in either case; files in any of SKIPPED_FOLDERS are left out.
+    The suffix may be in either case; files in any skipped folder are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size_bytes"))
     parts = F.split("path", "/")
-    kept = F.lower("path").endswith(".pdf") & ~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in SKIPPED_FOLDERS]))
+    kept = F.lower("path").endswith(".pdf") & ~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in skipped]))
     return files.where(kept).select("path", F.element_at(parts, -1).alias("file_name"), "size_bytes")
 
 
