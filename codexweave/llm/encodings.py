@@ -243,6 +243,34 @@ def _cheapest(piece: str, model: int) -> tuple[str, float, tuple[str, ...]]:
 _MODELS: dict[int, np.ndarray] = {}
 
 
+def along(piece: str, path: tuple[str, ...]) -> str:
+    """A text taken along a path of operations."""
+    for name in path:
+        if name == "unescape":
+            for pattern, undo in ESCAPES:
+                piece = undo(piece) if pattern.search(piece) else piece
+        else:
+            wrong, true = name.split(">")
+            piece = to_text(to_bytes(piece, wrong), true)
+    return piece
+
+
+def losses(text: str) -> int:
+    return text.count(REPLACEMENT) + text.count("\x1a")
+
+
+def widened(text: str, a: int, b: int, low: int, after: str, path: tuple[str, ...]) -> tuple[int, int, str]:
+    """The stretch with plausible characters beside it that belong to it: fewer are lost then."""
+    best = (losses(after), 0, a, b, after)
+    for left in range(4):
+        for right in range(4):
+            if a - left < low or b + right > len(text) or text[a - left : a].isascii() and left or text[b : b + right].isascii() and right:
+                continue
+            more = along(text[a - left : b + right], path)
+            best = min(best, (losses(more), left + right, a - left, b + right, more))
+    return best[2:]
+
+
 def repair(text: str, costs: np.ndarray) -> tuple[str, float, bool]:
     """``(text as far as restored, bits gained, whether any loss is left)`` of one page."""
     spans = stretches(text, costs)
@@ -251,9 +279,14 @@ def repair(text: str, costs: np.ndarray) -> tuple[str, float, bool]:
     _MODELS[id(costs)] = costs
     out, at, total = [], 0, 0.0
     for a, b in spans:
+        a = max(a, at)
         piece = text[a:b]
+        if not piece:
+            continue
         after, gain, path = _cheapest(piece, id(costs)) if b - a <= 24 else cheapest(piece, costs)
         if _proven(piece, after, gain, path, text[a - 1 : a], text[b : b + 1], costs):
+            if losses(after):
+                a, b, after = widened(text, a, b, at, after, path)
             out += [text[at:a], after]
             at, total = b, total + gain
     fixed, more = one_table("".join([*out, text[at:]]), costs)
