@@ -95,6 +95,11 @@ def garbled(line: str) -> bool:
     return not line.isascii() and bool(_GARBLED.search(line))
 
 
+def clean_lines(lines: list[str]) -> list[str]:
+    """The lines that are not garbled; one search tells for most pages."""
+    return [line for line in lines if not garbled(line)] if garbled("\n".join(lines)) else lines
+
+
 def _key(text: str) -> tuple[int, int]:
     h = hash_text(text)
     return h & (BUCKETS - 1), (h >> 32) & (BUCKETS - 1)
@@ -143,30 +148,44 @@ _WANTED = set(_CONFUSED) | {r for rights in _CONFUSED.values() for r in rights}
 _WANTED_RE = re.compile("[" + "".join(sorted(_WANTED)) + "]")
 
 
-def count_page(lines: list[str], counter: Counter) -> None:
+def count_page(lines: list[str], words: Counter, contexts: Counter) -> None:
+    """Adds a page's words and compounds, and the contexts of its confusable ideographs."""
     zh = [line for line in lines if _ZH.search(line)]
     if zh:
         text, _ = joined_ideographs(zh)
-        for m in _WANTED_RE.finditer(text):
-            counter.update(windows(text, m.start(), m[0]))
+        contexts.update([(text[max(0, at - 2) : at + 3], min(2, at)) for at in (m.start() for m in _WANTED_RE.finditer(text))])
+        if len(zh) == len(lines):
+            return
+    found: list[str] = []
     for line in lines:
-        if _ZH.search(line):
-            continue
-        words = _WORD.findall(line)
-        if line[-1:] in _SIGNS and words:
-            words.pop()
-        counter.update(w.casefold() for w in words[1:] if len(w) < 40)
-        counter.update(f"{a}-{b}".casefold() for a, b in _COMPOUND.findall(line))
+        if line and not _ZH.search(line):
+            folded = line.casefold()
+            mine = _WORD.findall(folded)[1:]
+            if mine and line[-1] in _SIGNS:
+                mine.pop()
+            found += mine
+            if "-" in folded or "\u2010" in folded:
+                found += [f"{a}-{b}" for a, b in _COMPOUND.findall(folded)]
+    words.update(found)
+
+
+def expanded(words: Counter, contexts: Counter) -> Counter:
+    """Counts of words and of the n-grams of all contexts."""
+    out = Counter(words)
+    for (context, at), n in contexts.items():
+        for window in windows(context, at, context[at]):
+            out[window] += n
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = Counts()
     for batch in batches:
-        counter: Counter = Counter()
+        words, contexts = Counter(), Counter()
         for text in batch.column(0).to_pylist():
             if text:
-                count_page([line for line in page_lines(text) if not garbled(line)], counter)
-        counts.add(counter)
+                count_page(clean_lines(page_lines(text)), words, contexts)
+        counts.add(expanded(words, contexts))
     flat = counts.table.ravel()
     at = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["bucket", "n"])
@@ -230,7 +249,11 @@ class Editor:
         c, out = context[at], []
         old = [self._windows(w) for w in windows(context, at, c)]
         for right in _CONFUSED[c]:
-            new = [self._windows(w) for w in windows(context, at, right)]
+            grams = windows(context, at, right)
+            a, b = self._windows(grams[0]), self._windows(grams[1])
+            if 2 * (a + b) + min(a, b) <= sum(old):  # longer grams are no commoner than these
+                continue
+            new = [a, b, *(self._windows(w) for w in grams[2:])]
             if max(new) > 2 and sum(new) > sum(old):
                 d = [_ratio(n, o) for n, o in zip(new, old, strict=True)]
                 out.append((right, ("z", *(f"z:{i}r{r}" for i, r in enumerate(d)), f"z:m{min(d)}", f"z:x{max(d)}", f"z:s{d[0]}{d[1]}", f"z:t{d[2]}{min(d[3], d[4])}", f"z:o{_bin(old[2])}n{_bin(new[2])}", f"z:{c}{right}", f"z:{c}{right}{d[2]}")))
@@ -238,19 +261,23 @@ class Editor:
 
     def edits(self, lines: list[str]) -> Iterator[tuple[int, str, str, str, tuple[str, ...]]]:
         """The conceivable edits of a page's lines."""
-        clean = [i for i, line in enumerate(lines) if line and not garbled(line)]
+        page = "\n".join(lines)
+        bad, stray = garbled(page), _STRAY.search(page)
+        clean = [i for i, line in enumerate(lines) if line and not (bad and garbled(line))]
         zh = [i for i in clean if _ZH.search(lines[i])]
         text, owner = joined_ideographs([lines[i] for i in zh])
         for m in _CONFUSED_RE.finditer(text):
             at = m.start()
             for right, features in self._readings(text[max(0, at - 2) : at + 3], min(2, at)):
                 yield zh[owner[at]], "replace", m[0], right, features
+        if stray:
+            for i in clean:
+                for m in _STRAY.finditer(lines[i]):
+                    yield i, "delete", m[0], "", _stray_features(lines[i], m.start())
         dense = set(zh)
-        for i in clean:
+        for i in clean if len(zh) < len(clean) else ():
             line = lines[i]
-            for m in _STRAY.finditer(line):
-                yield i, "delete", m[0], "", _stray_features(line, m.start())
-            if i in dense or numbers_of(line):
+            if i in dense or len(line) < 12 and numbers_of(line):
                 continue
             tokens = list(_TOKEN.finditer(line))
             for k, m in enumerate(tokens):

@@ -262,10 +262,10 @@ def test_perceptron_on_held_out_pages():
     counts = scan_noise.Counts()
     from collections import Counter
 
-    counter = Counter()
+    words, contexts = Counter(), Counter()
     for page in lines:
-        scan_noise.count_page(page, counter)
-    counts.add(counter)
+        scan_noise.count_page(page, words, contexts)
+    counts.add(scan_noise.expanded(words, contexts))
     editor = scan_noise.Editor(counts)
     editor.train(lines[:80])
     rng, right, wrong, missed = random.Random(8), 0, 0, 0
