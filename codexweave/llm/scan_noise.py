@@ -42,7 +42,7 @@ CONFUSED = (
 #: Letters easily misread in Latin words, wrong before right. Fixed values.
 MISREAD = (
     "rn>m m>rn li>h ii>u vv>w cl>d ri>n in>m iii>m ni>m nn>m c>e e>c o>a a>o f>t t>f l>i i>l h>b b>h u>n n>u ll>u ti>h lc>k l<>k ,>' s>5 5>s 1>l l>1 0>o o>0 "
-    "I>l l>I 8>B B>8 g>q q>g y>v v>y j>i r>t fi>h d>cl w>vv h>li u>ii n>ri d>d $>s é>e ß>B B>ß"
+    "1>i 9>g 6>b 8>b 3>e 2>z 4>a 7>t 5>S 0>O 1>I 8>B I>l l>I B>8 g>q q>g y>v v>y j>i r>t fi>h d>cl w>vv h>li u>ii n>ri d>d $>s é>e ß>B B>ß"
 ).replace("<>k", "<>k").split()
 #: Signs that stand for nothing where they stand alone in running text. Fixed values.
 STRAY = "|~^_`'□丨¦\\{}<>*•°¬=+#@¤■◆♦※┃"
@@ -274,6 +274,10 @@ class Editor:
             for i in clean:
                 for m in _STRAY.finditer(lines[i]):
                     yield i, "delete", m[0], "", _stray_features(lines[i], m.start())
+        if _MIXED.search(page):
+            for i in clean:
+                for m in _MIXED_NUMBER.finditer(lines[i]):
+                    yield i, "word", m[0], m[0].translate(_DIGITS), _number_features(m[0], lines[i])
         dense = set(zh)
         for i in clean if len(zh) < len(clean) else ():
             line = lines[i]
@@ -284,15 +288,30 @@ class Editor:
                 word = m[0].strip("'’|<>$")
                 if not 2 <= len(word) <= 30 or word.isdigit():
                     continue
-                if not word.isalpha() and any(c.isdigit() for c in word):
-                    if re.fullmatch(r"\d*[OolISBZ]\d+|\d+[OolISBZ]\d*", word):
-                        yield i, "word", word, word.translate(_DIGITS), ("d", f"d:{len(word)}")
+                if not word.isalpha() and sum(map(str.isalpha, word)) < 2 or _MIXED_NUMBER.fullmatch(word):
                     continue
                 found = self._words(word)
+                first = k == 0 and i and lines[i - 1][-1:] in _SIGNS and _BREAK.search(lines[i - 1])
+                last = k == len(tokens) - 1 and line[-1] in _SIGNS and _BREAK.search(line)
+                if first or last:
+                    found = self._half(word, lines, i, bool(last))
                 if found:
-                    cut = k == len(tokens) - 1 and _BREAK.search(line) or k == 0 and i and _BREAK.search(lines[i - 1])
-                    if not cut:
-                        yield i, "word", word, found[0], found[1]
+                    yield i, "word", word, found[0], found[1]
+
+    def _half(self, half: str, lines: list[str], i: int, is_left: bool) -> tuple[str, tuple[str, ...]] | None:
+        """Another reading of half a word that is broken over two lines."""
+        j = i + 1 if is_left else i - 1
+        other = _TOKEN.findall(lines[j]) if 0 <= j < len(lines) else []
+        if not other:
+            return None
+        whole = half + other[0] if is_left else other[-1] + half
+        found = self._words(whole) if len(whole) <= 30 else None
+        if not found:
+            return None
+        same = other[0] if is_left else other[-1]
+        kept = found[0].endswith(same) if is_left else found[0].startswith(same)
+        mine = found[0][: len(found[0]) - len(same)] if is_left else found[0][len(same) :]
+        return (mine, found[1]) if kept and mine != half else None
 
     def joins(self, lines: list[str], skip: frozenset[int] = frozenset()) -> Iterator[tuple[int, str, tuple[str, ...]]]:
         """(line, whole word, features) of each line that ends within a word, hyphen last."""
@@ -354,6 +373,14 @@ def fitted(cases: list[tuple[tuple[str, ...], bool]], rng: random.Random) -> dic
 
 
 _DIGITS = str.maketrans("OolISBZ", "0011582")
+_LETTERS_FOR = {"0": "Oo", "1": "lI", "5": "S", "8": "B", "2": "Z"}
+_MIXED = re.compile(r"\d[OolISBZ]|[OolISBZ]\d")
+_MIXED_NUMBER = re.compile(r"(?<![^\W_㐀-鿿])(?=[OolISBZ]*\d)(?=\d*[OolISBZ])[\dOolISBZ]{2,6}(?![^\W_㐀-鿿])")
+
+
+def _number_features(token: str, line: str) -> tuple[str, ...]:
+    letters = "".join(c for c in token if not c.isdigit())
+    return "d", f"d:{letters[:2]}", f"d:l{len(token)}", f"d:n{len(letters)}", f"d:alone{len(line.split()) < 4}"
 _CONFUSED_RE = re.compile("[" + "".join(sorted(_CONFUSED)) + "]")
 
 
@@ -384,13 +411,20 @@ def damage(lines: list[str], rng: random.Random) -> tuple[list[str], set[tuple[i
                 for m in list(_TOKEN.finditer(line))[::-1]:
                     word = m[0]
                     if len(word) > 2 and word.isalpha() and rng.random() < DAMAGE:
-                        rules = [(w, r) for w, r in _MISREAD if r in word and w.isalpha()]
+                        rules = [(w, r) for w, r in _MISREAD if r in word and r.isalpha() and w.isalnum()]
                         if rules:
                             wrong, right = rng.choice(rules)
                             at = rng.choice([k for k in range(len(word)) if word.startswith(right, k)])
                             bad = word[:at] + wrong + word[at + len(right) :]
                             line = line[: m.start()] + bad + line[m.end() :]
                             touched.add((i, bad, word))
+            numbers = [m for m in re.finditer(r"\d{2,4}", line) if set(m[0]) & set(_LETTERS_FOR)]
+            if numbers and rng.random() < 4 * DAMAGE:
+                m = rng.choice(numbers)
+                at = rng.choice([k for k, c in enumerate(m[0]) if c in _LETTERS_FOR])
+                bad = m[0][:at] + rng.choice(_LETTERS_FOR[m[0][at]]) + m[0][at + 1 :]
+                line = line[: m.start()] + bad + line[m.end() :]
+                touched.add((i, bad, m[0]))
             if rng.random() < 4 * DAMAGE:
                 sign = rng.choice("|~^_`'□丨")
                 at = rng.randrange(len(line) + 1)
