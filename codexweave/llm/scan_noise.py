@@ -37,12 +37,12 @@ CONFUSED = (
     "轶铁 铁轶 士土 土士 夭天 天夭 千干 干千 于干 干于 白自 自白 田由 由田 甲由 申甲 王玉 玉王 主王 万方 方万 几凡 凡几 九丸 丸九 问间 间问 侯候 候侯 晴睛 睛晴 "
     "拔拨 拨拔 徒徙 徙徒 崇祟 戌戍 折拆 拆折 贷货 货贷 沽沾 沾沽 炙灸 壳売 鸟乌 乌鸟 兔免 免兔 今令 令今 体休 休体 住往 往住 代伐 伐代 仑仓 仓仑 竞竟 竟竞 "
     "采釆 乎平 平乎 牛午 午牛 失矢 矢失 夫失 朱未 来未 录晷 短长 小少 少小 丁了 了丁 子孑 亨享 享亨 哀衰 衰哀 密蜜 蜜密 幕墓 墓幕 慕幕 摸模 模摸 载栽 栽载 "
-    "渡镀 洒酒 酒洒 汗汙 泊油 油泊 治冶 冶治 淮准 准淮 冼洗 冶治 冰水 水氷 永水 木禾 禾木 米来 未米 来米"
+    "妙纱 纱妙 渡镀 洒酒 酒洒 汗汙 泊油 油泊 治冶 冶治 淮准 准淮 冼洗 冶治 冰水 水氷 永水 木禾 禾木 米来 未米 来米"
 ).split()
 #: Letters easily misread in Latin words, wrong before right. Fixed values.
 MISREAD = (
     "rn>m m>rn li>h ii>u vv>w cl>d ri>n in>m iii>m ni>m nn>m c>e e>c o>a a>o f>t t>f l>i i>l h>b b>h u>n n>u ll>u ti>h lc>k l<>k ,>' s>5 5>s 1>l l>1 0>o o>0 "
-    "1>i 9>g 6>b 8>b 3>e 2>z 4>a 7>t 5>S 0>O 1>I 8>B I>l l>I B>8 g>q q>g y>v v>y j>i r>t fi>h d>cl w>vv h>li u>ii n>ri d>d $>s é>e ß>B B>ß"
+    "1>i 9>g 6>b 8>b 3>e 2>z 4>a 7>t 6>é 6>e 5>S 0>O 1>I 8>B I>l l>I B>8 g>q q>g y>v v>y j>i r>t fi>h d>cl w>vv h>li u>ii n>ri d>d $>s é>e ß>B B>ß"
 ).replace("<>k", "<>k").split()
 #: Signs that stand for nothing where they stand alone in running text. Fixed values.
 STRAY = "|~^_`'□丨¦\\{}<>*•°¬=+#@¤■◆♦※┃"
