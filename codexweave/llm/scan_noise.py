@@ -489,7 +489,7 @@ def numbers_of(line: str) -> list[tuple[str, int]]:
 
 def name_of(line: str) -> str:
     """A line's letters and digits, without a page number before or after them."""
-    body = re.sub(r"^[\s\W_]*\d{1,4}(?:[\s\W_]{2,}|\s+)(?=\S)|\s[\s\W_]*\d{1,4}[\s\W_]*$|\s+[ivxl]{1,6}[\s\W_]*$", "", line.strip(), flags=re.IGNORECASE)
+    body = re.sub(r"^[\s\W_]*\d{1,4}(?:[\s\W_]{2,}|\s+)(?=\S)|\s[\s\W_]*\d{1,4}(?:\s\d){0,3}[\s\W_]*$|\s+[ivxl]{1,6}[\s\W_]*$", "", line.strip(), flags=re.IGNORECASE)
     return re.sub(r"[\W_]+", "", body).casefold()
 
 
