@@ -82,7 +82,7 @@ def garble_score(text: Column) -> Column:
     poor = F.when(shown > 0, F.greatest(F.lit(0.0), F.floor((F.lit(0.35) - meant / shown) * total))).otherwise(0.0)
     runs = F.aggregate(F.regexp_extract_all(text, F.lit(r"((.)\2{8,})"), F.lit(1)), F.lit(0), lambda n, run: n + F.length(run))
     score = F.least(F.lit(1.0), (signs + poor + runs) / F.greatest(total, F.lit(1)))
-    return F.when(total == 0, F.lit(0.0)).otherwise(score)
+    return F.when(total == 0, F.lit(0.0)).when(total > 0, score)
 
 
 def contents_like(text: Column) -> Column:

@@ -143,6 +143,16 @@ def header_texts(placed: Column) -> Column:
     return F.transform(F.filter(placed, running), lambda b: b["text"])
 
 
+def plate_noise_texts(placed: Column, lines: Column) -> Column:
+    """Texts of unsure Latin fragments on a plate of photographs with numbered, marked captions."""
+    captions = F.filter(lines, lambda x: x.rlike(r"^(?:[△▲]\s*)?\d+\s*\S+"))
+    marked = F.size(F.filter(captions, lambda x: x.rlike("^[△▲]")))
+    compact = lambda b: F.regexp_replace(b["text"], f"{T.BLANKS}+", "")
+    noise = F.filter(placed, lambda b: (b["confidence"] < 0.65) & compact(b).rlike(r"^[A-Za-z0-9.,'-]{1,32}$"))
+    none = F.array().cast("array<string>")
+    return F.when((F.size(captions) >= 3) & (marked >= 1), F.transform(noise, lambda b: b["text"])).otherwise(none)
+
+
 def printed_number(placed: Column) -> Column:
     """The lowest sure number near a page's outer bottom corners, or null."""
     edge = lambda f, name: f(F.transform(placed, lambda b: b[name]))
@@ -161,7 +171,7 @@ def prepared(pages: DataFrame) -> DataFrame:
     """Pages with cleaned text, printed_page and warnings, by one chain of column steps.
 
     Order: clean-up, caption marks, printed number, margin smudges, index heads, diagram
-    noise, warnings. The layout steps need eight placed blocks and a page after the tenth.
+    noise, plate noise, warnings. The layout steps need eight placed blocks and a page after the tenth.
     Running it again on its result changes nothing but blocks' own leftovers.
     """
     text = F.coalesce("text", F.lit(""))
@@ -184,7 +194,10 @@ def prepared(pages: DataFrame) -> DataFrame:
     lines = T.filled_lines(F.col("_text"))
     chart = F.col("_text").rlike(T.MAP_CAPTION)
     quiet = F.filter(F.split("_text", "\n"), lambda x: ~T.is_noise_line(x) & ~(chart & T.stripped(x).rlike(r"^\d{1,3}$")))
+    step = step.withColumn("_plate", plate_noise_texts(F.col("_placed"), T.filled_lines(F.col("_text"))))
     final = F.when(T.diagram_like(F.col("_text"), lines), T.stripped(F.array_join(quiet, "\n"))).otherwise(F.col("_text"))
+    shown = F.filter(F.split(final, "\n"), lambda x: ~F.array_contains("_plate", T.stripped(x)))
+    final = F.when(F.size("_plate") > 0, T.stripped(F.array_join(shown, "\n"))).otherwise(final)
     out = step.select(
         *[c for c in pages.columns if c not in ("text", "printed_page", "warnings")],
         F.coalesce("_number", "printed_page").alias("printed_page"),

@@ -204,6 +204,11 @@ def test_listing_and_writers(spark, tmp_path):
     assert records.read_rules(str(tmp_path / "none.yaml")) == []
 
 
+def test_pages_of_books(spark):
+    books = spark.createDataFrame([("b", "vorher\n## 第 1 页\n\neins\n## 2\nzwei\n## 第 1 页\nneu\n"), ("n", None), ("e", "")], "book string, text string")
+    assert sorted(tuple(r) for r in records.pages_of_books(books).collect()) == [("b", 1, "neu"), ("b", 2, "zwei")]
+
+
 def test_stream_of_heartbeats(spark, tmp_path):
     from codexweave.streaming import monitor
 

@@ -73,6 +73,12 @@ def test_prepared_takes_out_the_printed_number(spark):
     assert rows[2].printed_page is None and rows[2].text == text
 
 
+def test_plate_noise_goes_captions_stay(spark):
+    text = "△1 成虫\n2 幼虫\n3 蛹\nxq"
+    df = spark.createDataFrame([(1, 60, None, text, 0.95, "paddleocr", None, [("xq", 0.3, [[1.0, 2.0, 3.0, 4.0]]), ("2 幼虫", 0.3, None)])], PAGE)
+    assert P.prepared(df).first().text == "△1 成虫\n2 幼虫\n3 蛹"
+
+
 def test_flat_boxes_count_like_corner_points(spark):
     df = spark.createDataFrame([([("a", 0.9, [[1.0, 2.0, 3.0, 4.0]]), ("b", None, [[1.0, 2.0], [3.0, 2.0], [3.0, 4.0], [1.0, 4.0]]), ("c", 0.5, None)],)], f"blocks {BLOCKS}")
     boxes = df.select(P.boxes(F.col("blocks"))).first()[0]
