@@ -146,7 +146,7 @@ def duration_text(seconds: Column) -> Column:
     s = F.greatest(F.bround(seconds), F.lit(0)).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
     minutes = F.when(m > 0, F.format_string("%d分%d秒", m, r)).otherwise(F.format_string("%d秒", r))
-    return F.when(s.isNull(), F.lit("未知")).when(h > 0, F.format_string("%d小时%d分%d秒", h, m, r)).otherwise(minutes)
+    return F.when(seconds.isNull(), F.lit("未知")).when(h > 0, F.format_string("%d小时%d分%d秒", h, m, r)).otherwise(minutes)
 
 
 def safe_name(name: Column) -> Column:

@@ -40,7 +40,7 @@ def short_window(durations: DataFrame, key: str, order: str, seconds: str, size:
     rows = durations.select(key, order, seconds, F.array_sort(F.collect_list(seconds).over(frame)).alias("_held"))
     n = F.size("_held")
     middle = (F.get("_held", ((n - 1) / 2).cast("int")) + F.get("_held", (n / 2).cast("int"))) / 2
-    median = F.greatest(middle, F.lit(0.001))
+    median = F.when(n > 0, F.greatest(middle, F.lit(0.001)))  # greatest skips nulls
     return rows.select(key, order, seconds, n.cast("long").alias("n"), median.alias("median_seconds"), F.round(60 / median, 3).alias("pages_per_minute"))
 
 
