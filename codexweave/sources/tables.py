@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a fresh local folder is set.
+    Only where the session has none and runs on one machine (tests) a fresh local folder is
+    set; on a cluster without the setting this is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="codexweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
