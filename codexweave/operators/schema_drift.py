@@ -376,9 +376,12 @@ def consistent_table(raw: DataFrame, kind: str, like: DataFrame) -> DataFrame:
     """
     found = leaves(raw.where(F.col("kind") == kind))
     placed = found.join(projections(found, changes(found)), ["feed", "file_no", "path"], "left")
-    rows = placed.groupBy("record_id", "feed", "file_no", "line_no").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "value"))))).alias("v")
-    )
+    # two fields of a file may stand for one column: the first by place counts
+    entry = F.when(F.col("column").isNotNull(), F.struct("column", "place", "value"))
+    rows = placed.groupBy("record_id", "feed", "file_no", "line_no").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    first = F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["column"] != x["column"]))
+    pairs = F.transform(first, lambda x: F.struct(x["column"].alias("column"), x["value"].alias("value")))
+    rows = rows.select("record_id", "feed", "file_no", "line_no", F.map_from_entries(pairs).alias("v"))
     rows = rows.join(raw.select("record_id", "received_at").dropDuplicates(["record_id"]), "record_id", "left") if "received_at" in like.columns else rows
     columns = [F.col(c) for c in ("record_id", "feed", "file_no", "line_no")]
     for field in like.schema.fields:

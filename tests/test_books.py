@@ -152,6 +152,12 @@ def test_drift_table_follows_the_renames(spark):
     assert all(r.other is None for r in rows)
 
 
+def test_drift_table_with_two_fields_for_one_column(spark):
+    like = spark.createDataFrame([], "processed_pages int")
+    rows = schema_drift.consistent_table(raw(spark, [[{"运行编号": "r", "已处理页数": 3, "processed_pages": 4}, {"x": 1}]]), "status", like).orderBy("line_no").collect()
+    assert [r.processed_pages for r in rows] == [3, None]
+
+
 def test_drift_of_nothing(spark):
     assert schema_drift.found_changes(raw(spark, [])).count() == 0
     assert schema_drift.found_changes(raw(spark, [[None, ""], ["x"]])).count() == 0
