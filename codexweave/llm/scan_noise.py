@@ -4,9 +4,10 @@ An averaged perceptron edits characters: for each place where an edit is conceiv
 character or word that is easily misread, a sign that stands alone, a word cut at a line's
 end) it decides between keeping, replacing, deleting, and joining lines with or without a
 blank put in. Its features compare how often the text as it is and as it would be occurs in
-the corpus. The counts cover all pages but live in a hashed table of fixed size, so what is
-collected and broadcast does not grow. It is trained on a bounded sample of pages that is
-damaged on purpose, so that the right answers are known.
+the corpus. The counts cover all pages and are exact: they lie sorted by digest in files of the
+shared folder, which are mapped into memory where they are asked, so nothing of them is
+collected or broadcast. It is trained on a bounded sample of pages that is damaged on purpose,
+so that the right answers are known.
 
 Running heads and page numbers are told by their place on the page and by agreement within
 the job: a number must fit the job's offset from the page number, and a name the book's title
@@ -17,7 +18,10 @@ from __future__ import annotations
 
 import random
 import re
+import tempfile
 import unicodedata
+import uuid
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,11 +29,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexweave.llm.lookalikes import TABLE
-from codexweave.sources.tables import materialised
+from codexweave.sources.tables import materialised, shared_folder
 
 #: Characters easily misread for each other, wrong before right. Fixed values.
 CONFUSED = (
@@ -46,8 +51,8 @@ MISREAD = (
 ).replace("<>k", "<>k").split()
 #: Signs that stand for nothing where they stand alone in running text. Fixed values.
 STRAY = "|~^_`'□丨¦\\{}<>*•°¬=+#@¤■◆♦※┃"
-#: Buckets of each of the two hash rows of counts; pages and damage of the training sample.
-BUCKETS, SAMPLE_PAGES, DAMAGE, EPOCHS, MARGIN = 1 << 20, 3000, 0.03, 6, 3.0
+#: Pages and damage of the training sample.
+SAMPLE_PAGES, DAMAGE, EPOCHS, MARGIN = 3000, 0.03, 6, 3.0
 _CONFUSED: dict[str, list[str]] = defaultdict(list)
 for _pair in CONFUSED:
     _CONFUSED[_pair[0]].append(_pair[1])
@@ -100,31 +105,65 @@ def clean_lines(lines: list[str]) -> list[str]:
     return [line for line in lines if not garbled(line)] if garbled("\n".join(lines)) else lines
 
 
-def _key(text: str) -> tuple[int, int]:
-    h = hash_text(text)
-    return h & (BUCKETS - 1), (h >> 32) & (BUCKETS - 1)
-
-
-def hash_text(text: str) -> int:
-    """A 64-bit hash that is the same in every process."""
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+def digest(text: str) -> bytes:
+    """A 128-bit digest that is the same in every process."""
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "replace"))
 
 
 class Counts:
-    """Counts of words and of windows around confusable ideographs, in two hash rows."""
+    """Exact counts of words and of windows around confusable ideographs, in memory."""
 
-    def __init__(self, table: np.ndarray | None = None) -> None:
-        self.table = np.zeros((2, BUCKETS), np.int64) if table is None else table
+    def __init__(self) -> None:
+        self.table = Counter()
 
     def add(self, counter: Counter) -> None:
-        for text, n in counter.items():
-            a, b = _key(text)
-            self.table[0, a] += n
-            self.table[1, b] += n
+        self.table.update(counter)
 
     def __getitem__(self, text: str) -> int:
-        a, b = _key(text)
-        return int(min(self.table[0, a], self.table[1, b]))
+        return self.table[text]
+
+
+class CountFiles:
+    """Exact counts in files by the first byte of the digest, each mapped when first asked."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        self.files: list[tuple | None] = [None] * 256
+
+    def _file(self, first: int) -> tuple:
+        """High halves, low halves and counts of a file, sorted by digest."""
+        data = _mapped(self.folder, f"{first:02x}")
+        n = len(data) // 3
+        self.files[first] = found = tuple(memoryview(data[k * n : (k + 1) * n]) for k in range(3))
+        return found
+
+    def __getitem__(self, text: str) -> int:
+        key = digest(text)
+        high, low, counts = self.files[key[0]] or self._file(key[0])
+        h, l = int.from_bytes(key[:8]), int.from_bytes(key[8:])
+        at = bisect_left(high, h)
+        while at < len(high) and high[at] == h:
+            if low[at] == l:
+                return counts[at]
+            at += 1
+        return 0
+
+
+def _located(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if re.match(r"\w+:/", folder) else (fs.LocalFileSystem(), folder)
+
+
+def _mapped(folder: str, name: str) -> np.ndarray:
+    """A file's numbers; one of a remote store is mapped from a local copy, one never written is empty."""
+    store, path = _located(folder)
+    info = store.get_file_info(f"{path}/{name}")
+    if info.type == fs.FileType.NotFound:
+        return np.zeros(0, np.uint64)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.asarray(np.memmap(info.path, np.uint64, "r"))
+    with tempfile.NamedTemporaryFile() as copy:
+        fs.copy_files(info.path, copy.name, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+        return np.asarray(np.memmap(copy.name, np.uint64, "r"))
 
 
 def windows(text: str, at: int, char: str) -> tuple[str, ...]:
@@ -179,24 +218,41 @@ def expanded(words: Counter, contexts: Counter) -> Counter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = Counts()
     for batch in batches:
         words, contexts = Counter(), Counter()
         for text in batch.column(0).to_pylist():
             if text:
                 count_page(clean_lines(page_lines(text)), words, contexts)
-        counts.add(expanded(words, contexts))
-    flat = counts.table.ravel()
-    at = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["bucket", "n"])
+        counts = expanded(words, contexts)
+        halves = np.frombuffer(b"".join(map(digest, counts)), ">u8").astype(np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(list(counts.values()), pa.int64())], ["high", "low", "n"])
+
+
+def _writer(folder: str) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = _located(folder)
+        parts = [np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(3)]) for batch in batches]
+        rows = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.uint64)
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        firsts, starts = np.unique(rows[0] >> np.uint64(56), return_index=True)
+        for first, part in zip(firsts.tolist(), np.split(rows, starts[1:], axis=1), strict=False):
+            name = f"{path}/{first:02x}"
+            with store.open_output_stream(made := f"{name}-{uuid.uuid4().hex}") as out:  # a repeated task replaces whole files
+                out.write(part.tobytes())
+            store.move(made, name)
+        yield pa.RecordBatch.from_arrays([pa.array([rows.shape[1]], pa.int64())], ["n"])
+
+    return run
 
 
-def corpus_counts(pages: DataFrame) -> Counts:
-    """Counts over all pages; at most 2 * BUCKETS numbers reach the driver."""
-    rows = pages.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(2 * BUCKETS, np.int64)
-    table[np.asarray(rows["bucket"].combine_chunks())] = np.asarray(rows["n"].combine_chunks())
-    return Counts(table.reshape(2, BUCKETS))
+def corpus_counts(pages: DataFrame) -> CountFiles:
+    """Exact counts over all pages; no count reaches the driver."""
+    folder = f"{shared_folder(pages.sparkSession)}/codexweave/counts-{uuid.uuid4().hex}"
+    store, path = _located(folder)
+    store.create_dir(path)
+    rows = pages.select("text").mapInArrow(_count, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
+    rows.repartition(F.shiftrightunsigned("high", 56)).mapInArrow(_writer(folder), "n long").agg(F.sum("n")).collect()
+    return CountFiles(folder)
 
 
 def _bin(n: float) -> int:
@@ -580,7 +636,7 @@ def noisy_lines(text: str, editor: Editor) -> list[tuple[int, str]]:
 
 def _finder(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor = Editor(Counts(model.value[0]), model.value[1])
+        editor = Editor(CountFiles(model.value[0]), model.value[1])
         for batch in batches:
             rows = [(p, n, k) for p, t in zip(batch.column("page_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for n, k in noisy_lines(t, editor)]
             yield pa.RecordBatch.from_arrays(
@@ -597,7 +653,7 @@ def noise(pages: DataFrame) -> DataFrame:
     Null and empty texts have none; repeated rows of a page give each case once.
     """
     editor = trained_editor(pages)
-    model = pages.sparkSession.sparkContext.broadcast((editor.counts.table, editor.weights))
+    model = pages.sparkSession.sparkContext.broadcast((editor.counts.folder, editor.weights))
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "text")
     edited = rows.mapInArrow(_finder(model), "page_id long, line_no int, kind string")
     return edited.unionByName(furniture(pages)).distinct()
@@ -632,7 +688,7 @@ def repaired_text(text: str, dropped: set[int], editor: Editor) -> str:
 
 def _repairer(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor = Editor(Counts(model.value[0]), model.value[1])
+        editor = Editor(CountFiles(model.value[0]), model.value[1])
         for batch in batches:
             texts = [
                 None if t is None else repaired_text(t, {n - 1 for n in d or ()}, editor)
@@ -646,7 +702,7 @@ def _repairer(model) -> object:
 def repaired(pages: DataFrame) -> DataFrame:
     """``page_id, text``: each page once, as continuous readable paragraphs (one a line)."""
     editor = trained_editor(pages)
-    model = pages.sparkSession.sparkContext.broadcast((editor.counts.table, editor.weights))
+    model = pages.sparkSession.sparkContext.broadcast((editor.counts.folder, editor.weights))
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "text").dropDuplicates(["page_id"])
     dropped = furniture(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("dropped"))
     return rows.join(dropped, "page_id", "left").mapInArrow(_repairer(model), "page_id long, text string")

@@ -253,6 +253,18 @@ def test_scan_noise(spark):
     assert "A Book of Mills" not in text[1] and text[500] is None and text[501] == ""
 
 
+def test_counts_of_a_large_vocabulary_are_exact(spark):
+    def word(n):
+        return "".join(chr(97 + n // 26**k % 26) for k in range(5))
+
+    rows = [(p, "j", "\n".join("x " + " ".join(word(n) for n in range(line, line + 50)) for line in range(p * 5000, p * 5000 + 5000, 50))) for p in range(300)]
+    rows += [(1000 + i, "j", "x abacus furnace 石匠把木桶搬到日晷旁\nx abacus furnace") for i in range(4)]
+    counts = scan_noise.corpus_counts(pages_of(spark, rows))
+    assert all(counts[word(n)] == 1 for n in range(0, 1_500_000, 101))
+    assert not any(counts[word(n) + "q"] for n in range(20_000))
+    assert (counts["furnace"], counts["abacus"], counts["木桶>"], counts["到日晷"]) == (4, 4, 4, 4)
+
+
 def test_scan_noise_of_nothing(spark):
     assert scan_noise.noise(pages_of(spark, [])).count() == 0 and scan_noise.repaired(pages_of(spark, [])).count() == 0
 
