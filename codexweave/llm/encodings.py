@@ -2,7 +2,8 @@
 
 A state is a stretch of text; an edge encodes it with a codec it may wrongly have been
 decoded with and decodes the bytes with another, or undoes an escape. Best-first search
-with a visited set follows the states of least cost; the cost of a text is the sum of its
+with a visited set follows the states of least cost, every path of up to ``ALL_STEPS``
+operations but where a lower bound shows that nothing cheaper lies behind; the cost of a text is the sum of its
 characters' implausibility in bits, learned by counting the characters of the whole corpus
 but for pages that look damaged by their structure alone. A page is damaged if its text
 holds a decoder's replacement character, or if a cheaper text is reachable from any stretch
@@ -38,7 +39,9 @@ STEP, LOST, UNSEEN, SUSPICIOUS, MIN_GAIN = 6.0, 26.0, 26.0, 15.0, 24.0
 CLEAN_GAIN = 8.0
 #: Gain per changed character that a proof by single-byte or double-byte tables alone needs.
 TABLE_GAIN = 6.0
-MAX_STEPS, MAX_STATES = 4, 40
+#: Operations of a path; those up to which every path is walked; and beyond these the states
+#: that are followed further, of those that are no costlier than the text as it is.
+MAX_STEPS, ALL_STEPS, MAX_STATES = 4, 2, 40
 REPLACEMENT = "�"
 
 
@@ -118,6 +121,14 @@ def cost_of(text: str, costs: np.ndarray) -> float:
     return float(costs[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].sum())
 
 
+def costs_of(texts: list[str], costs: np.ndarray) -> list[float]:
+    """The costs of several texts, none of them empty."""
+    if not texts:
+        return []
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    return np.add.reduceat(costs[codes], np.cumsum([0, *map(len, texts[:-1])]), dtype=np.float64).tolist()
+
+
 def stretches(text: str, costs: np.ndarray) -> list[tuple[int, int]]:
     """Spans around suspicious characters: non-ASCII runs, joined over short gaps."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -146,35 +157,62 @@ def stretches(text: str, costs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cheapest(text: str, costs: np.ndarray) -> tuple[str, float, tuple[str, ...]]:
-    """The cheapest text reachable, its gain over ``text`` in bits, and the path to it."""
+    """The cheapest text reachable, its gain over ``text`` in bits, and the path to it.
+
+    Of the many texts behind a state costlier than the one before it, some are cheaper by
+    chance: there only gains of ``MIN_GAIN`` count, or of twice ``TABLE_GAIN`` a character
+    where the path has no structure to tell.
+    """
+    _MODELS[id(costs)] = costs
+    floor = _floor(id(costs))
     start = cost_of(text, costs)
     best = (start, text, ())
-    queue, visited, taken = [(start, 0, text, ())], {text}, 0
-    while queue and taken < MAX_STATES:
-        cost, steps, state, path = heapq.heappop(queue)
-        taken += 1
-        if cost < best[0]:
-            best = (cost, state, path)
-        if steps == MAX_STEPS or steps and cost > start:
+    queue, visited, known, taken = [(start, 0, text, (), 0.0)], {text}, {}, 0
+    while queue:
+        cost, steps, state, path, needed = heapq.heappop(queue)
+        if steps >= ALL_STEPS:
+            taken += 1
+            if cost > start or taken > MAX_STATES:
+                continue
+        if least(state, steps, floor) >= min(best[0], start - needed):
             continue
-        for after, name in neighbours(state):
-            if after not in visited:
-                visited.add(after)
-                price = cost_of(after, costs) + STEP * (steps + 1)
-                if price < cost:
-                    heapq.heappush(queue, (price, steps + 1, after, (*path, name)))
+        new = {after: name for after, name in neighbours(state, known) if after not in visited and not visited.add(after)}
+        for (after, name), bits in zip(new.items(), costs_of(list(new), costs), strict=True):
+            price = bits + STEP * (steps + 1)
+            if price < best[0] and start - price >= (2 * TABLE_GAIN * len(text) if needed and not _structural((*path, name)) else needed):
+                best = (price, after, (*path, name))
+            if steps + 1 < MAX_STEPS and (steps + 1 < ALL_STEPS or price <= start):
+                heapq.heappush(queue, (price, steps + 1, after, (*path, name), needed if price < cost else MIN_GAIN))
     return best[1], start - best[0], best[2]
 
 
-def neighbours(state: str) -> Iterator[tuple[str, str]]:
-    """States one operation away, with the operation's name."""
-    wide = any(c >= "\u3000" for c in state)  # no single-byte table gives such
+def least(state: str, steps: int, floor: float) -> float:
+    """What any text behind a state costs at least.
+
+    A character that a codec lacks stays lost, and four bytes at most become one character,
+    so of the non-ASCII ones a quarter at least is left by each operation.
+    """
+    high = len(state) - len(state.encode("ascii", "ignore"))
+    return STEP * (steps + 1) + LOST * state.count("\x1a") + floor * -(-high // 4 ** (MAX_STEPS - steps))
+
+
+@lru_cache(maxsize=None)
+def _floor(model: int) -> float:
+    """The least cost of a non-ASCII character."""
+    return float(_MODELS[model][0x80:].min())
+
+
+def neighbours(state: str, known: dict[bytes, set[str]]) -> Iterator[tuple[str, str]]:
+    """States one operation away, with the operation's name, but for bytes ``known`` to be decoded so before."""
+    wide = max(state, default="") >= "\u3000"  # no single-byte table gives such
     for wrong in WRONG[8:] if wide else WRONG:
         data = to_bytes(state, wrong)
         if data.count(b"\x1a") * 4 > len(state) + 3:  # not what this codec gives
             continue
+        done = known.setdefault(data, set())
         for true in TRUE:
-            if true != wrong:
+            if true != wrong and true not in done:
+                done.add(true)
                 after = to_text(data, true)
                 if after != state and after:
                     yield after, f"{wrong}>{true}"
@@ -183,12 +221,16 @@ def neighbours(state: str) -> Iterator[tuple[str, str]]:
             yield undo(state), "unescape"
 
 
+def _structural(path: tuple[str, ...]) -> bool:
+    return any(p.endswith(">utf-8") or p == "unescape" for p in path)
+
+
 def _proven(piece: str, after: str, gain: float, path: tuple[str, ...], before: str, behind: str, costs: np.ndarray) -> bool:
     """Whether a gain proves damage: UTF-8 and escapes by structure, tables by more of it."""
     if not path or gain < CLEAN_GAIN:
         return False
     odd = sum(costs[ord(c)] >= SUSPICIOUS for c in after)
-    if any(p.endswith(">utf-8") or p == "unescape" for p in path):
+    if _structural(path):
         return not odd or gain >= MIN_GAIN and odd * 3 <= len(after)
     changed = sum(a != b for a, b in zip(piece, after, strict=False)) + abs(len(piece) - len(after))
     if gain < TABLE_GAIN * changed:

@@ -170,6 +170,31 @@ def corpus_bytes(text, true, wrong):
     return text.encode(true, "ignore").decode(wrong, "replace")
 
 
+def test_encodings_behind_a_costlier_state(spark):
+    text = "又从安浦调来"
+    garbled = corpus_bytes(corpus_bytes(text, "utf-8", "latin-1"), "utf-8", "gb18030")
+    filler = "据1846年的水闸记载，守塔人与修钟匠又从安浦调来一处盐卤，Größe, forêt."
+    rows = [(i, "j", filler + CLEAN[i % 4]) for i in range(1000)] + [(5000, "j", f"守塔人{filler}\n\n{garbled}\n\n修钟匠"), (5001, "j", "ФОНД ЧЕРТЕЖЕЙ, ЛИСТ 587")]
+    got = {r.page_id: r for r in encodings.repaired(pages_of(spark, rows)).collect()}
+    assert {p for p, r in got.items() if r.found} == {5000} and text in got[5000].text.split("\n\n")
+
+
+def test_search_walks_what_a_plain_walk_reaches():
+    rng = np.random.default_rng(5)
+    costs = rng.uniform(4, 26, 0x110000).astype(np.float32)
+    costs[0x1A] = costs[0xFFFD] = encodings.LOST
+    for text in ("é¼", "氓聫", "ÃŸ€", "&eacute;¼"):
+        start = encodings.cost_of(text, costs)
+        prices = {text: start}
+        for first, _ in encodings.neighbours(text, {}):
+            prices[first] = min(prices.get(first, 999), encodings.cost_of(first, costs) + encodings.STEP)
+            for second, name in encodings.neighbours(first, {}):
+                if name.endswith(">utf-8"):
+                    prices[second] = min(prices.get(second, 999), encodings.cost_of(second, costs) + 2 * encodings.STEP)
+        least = min(prices.values())
+        assert start - least < encodings.MIN_GAIN or encodings.cheapest(text, costs)[1] >= start - least - 0.01
+
+
 PASSAGE = "The dry wellhead from Ashport fetched 360 pence, for reasons given in chapter 8. As for Lorlea, the loose chart and the greyish bookspine stood side by side, whereupon the level rose 15 inches."
 IDEOGRAPHS = "据1846年的水闸记载，守塔人与修钟匠已经合用一处盐卤，旁边还注着尺寸。凡干燥的鱼干，先用清水浸550日，再以灯笼压平，比往年早了14日。"
 
