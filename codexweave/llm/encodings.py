@@ -78,6 +78,9 @@ ESCAPES: tuple[tuple[re.Pattern, Callable[[str], str]], ...] = (
     (re.compile(r"(?:%[0-9A-F]{2}){2}"), lambda s: unquote(s, errors="replace")),
     (re.compile(r"(?:=[0-9A-F]{2}){2}"), lambda s: re.sub(r"(?:=[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("=", "")).decode("utf-8", "replace"), s)),
 )
+#: Escapes in a row, and the signs one of which each holds.
+ESCAPED = re.compile(r"(?:&(?:amp;)*(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});)+|(?:\\u[0-9a-fA-F]{4})+|(?:%[0-9A-F]{2}){2,}|(?:=[0-9A-F]{2}){2,}")
+ESCAPE_SIGNS = "&\\%="
 #: Structure of damage: lost characters, controls, private use, UTF-8 read byte by byte, and
 #: six or more Latin-1, Cyrillic or box characters in a row that are no word of one script.
 STRUCTURE = re.compile(
@@ -156,6 +159,19 @@ def stretches(text: str, costs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def with_escapes(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans and those of escapes, in order, the ones that meet as one."""
+    if not any(c in text for c in ESCAPE_SIGNS):
+        return spans
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans + [m.span() for m in ESCAPED.finditer(text)]):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def cheapest(text: str, costs: np.ndarray) -> tuple[str, float, tuple[str, ...]]:
     """The cheapest text reachable, its gain over ``text`` in bits, and the path to it.
 
@@ -315,7 +331,7 @@ def widened(text: str, a: int, b: int, low: int, after: str, path: tuple[str, ..
 
 def repair(text: str, costs: np.ndarray) -> tuple[str, float, bool]:
     """``(text as far as restored, bits gained, whether any loss is left)`` of one page."""
-    spans = stretches(text, costs)
+    spans = with_escapes(text, stretches(text, costs))
     if not spans:
         return text, 0.0, REPLACEMENT in text
     _MODELS[id(costs)] = costs

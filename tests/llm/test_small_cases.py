@@ -179,6 +179,15 @@ def test_encodings_behind_a_costlier_state(spark):
     assert {p for p, r in got.items() if r.found} == {5000} and text in got[5000].text.split("\n\n")
 
 
+def test_escapes_in_pages_of_other_letters(spark):
+    word = "高粱"
+    escapes = ["".join(f"&#x{ord(c):X};" for c in word), "".join(f"&amp;#{ord(c)};" for c in word), "".join(f"\\u{ord(c):04x}" for c in word), *("".join(f"{sign}{b:02X}" for b in word.encode()) for sign in "%=")]
+    rows = [(i, "j", CLEAN[i % 4] + " 3 & 4 = 7, 5 %") for i in range(1000)] + [(5000 + i, "j", CLEAN[0].replace(word, e)) for i, e in enumerate(escapes)]
+    got = {r.page_id: r for r in encodings.repaired(pages_of(spark, rows)).collect()}
+    assert {p for p, r in got.items() if r.found} == {5000 + i for i in range(len(escapes))}
+    assert all(got[5000 + i].text == CLEAN[0] for i in range(len(escapes)))
+
+
 def test_search_walks_what_a_plain_walk_reaches():
     rng = np.random.default_rng(5)
     costs = rng.uniform(4, 26, 0x110000).astype(np.float32)
