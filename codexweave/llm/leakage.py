@@ -42,8 +42,6 @@ DENSE, SPARSE = Grain(10, 4, 3, 9, 12), Grain(24, 8, 7, 18, 30)
 MIN_SHARE, CANDIDATE_SHARE = 0.5, 0.12
 #: Drift of a diagonal within one stretch, and the share of a stretch that must match.
 DRIFT, DENSITY = 24, 0.82
-#: Share of a passage below which a stretch does not count.
-MIN_STRETCH = 0.2
 #: Characters of passages in one block of test items.
 BLOCK_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -181,7 +179,7 @@ def _stretches(passage: np.ndarray, codes: np.ndarray, low: int, high: int, grai
     out = []
     for run in np.split(on, np.flatnonzero(np.diff(on) > grain.gap + 1) + 1):
         a, b = int(run[0]), int(run[-1]) + 1
-        if b - a >= max(grain.stretch, MIN_STRETCH * m) and len(run) >= DENSITY * (b - a):
+        if b - a >= grain.stretch and len(run) >= DENSITY * (b - a):
             out.append((a, b))
     return out
 
@@ -189,11 +187,11 @@ def _stretches(passage: np.ndarray, codes: np.ndarray, low: int, high: int, grai
 def shared(passage: np.ndarray, codes: np.ndarray, places: np.ndarray, diagonals: np.ndarray, grain: Grain) -> float:
     """Share of the passage that the document holds in at most two stretches."""
     spans = []
-    for rows in _clusters(diagonals)[:8]:
+    for rows in _clusters(diagonals):
         low, high = int(diagonals[rows].min()) - DRIFT // 2, int(diagonals[rows].max()) + DRIFT // 2
         spans += _stretches(passage, codes, low, high, grain)
     best = 0
-    spans.sort(key=lambda s: s[0] - s[1])
+    spans = sorted(set(spans), key=lambda s: s[0] - s[1])
     for i, (a, b) in enumerate(spans):
         best = max(best, b - a, *[b - a + max(0, d - c - max(0, min(b, d) - max(a, c))) for c, d in spans[i + 1 :]], 0)
     return best / len(passage)
@@ -216,8 +214,7 @@ def leaks_in(text: str, items: Items) -> list[tuple[int, float]]:
         for i in np.flatnonzero(counts >= np.maximum(2, CANDIDATE_SHARE * items.counts)):
             rows = item == i
             diagonals = (place - at)[rows]
-            groups = _clusters(diagonals)[:2]
-            distinct = len(np.unique(at[rows][np.concatenate(groups)]))
+            distinct = len(np.unique(at[rows]))
             if distinct >= max(2, CANDIDATE_SHARE * items.counts[i]):
                 out.append((items.ids[i], shared(items.codes[i], codes, at[rows], diagonals, grain)))
     return out

@@ -223,6 +223,16 @@ def test_leaks(spark):
     assert leakage.leaks(documents.limit(0), items).count() == 0 and leakage.leaks(documents, items.limit(0)).count() == 0
 
 
+def test_leaks_in_two_uneven_stretches(spark):
+    filler = " ".join(f"Word {i} stands alone in {i * 7} places." for i in range(60))
+    n = len(PASSAGE)
+    uneven = filler + PASSAGE[: int(n * 0.4)] + filler + PASSAGE[int(n * 0.8) :] + filler
+    repeated = filler.join([PASSAGE[: int(n * 0.34)]] * 10) + filler + PASSAGE[int(n * 0.74) :] + filler
+    documents = spark.createDataFrame([(1, uneven), (2, repeated), (3, filler + PASSAGE[: int(n * 0.4)] + filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, PASSAGE)], "item_id long, passage string")
+    assert {tuple(r) for r in leakage.leaks(documents, items).collect()} == {(1, 10), (2, 10)}
+
+
 def test_winnowing_keeps_its_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(50):
