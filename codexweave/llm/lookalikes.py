@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,9 +76,43 @@ class _Table(dict):
 TABLE = _Table()
 
 
+class Translation:
+    """``str.translate`` by a table in which nearly all characters give one or none.
+
+    Such texts are looked up as an array of code points; others are left to ``translate``.
+    """
+
+    UNKNOWN, MORE, NONE = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
+
+    def __init__(self, table: dict) -> None:
+        self.table = table
+        self.points = np.full(0x110000, self.UNKNOWN, np.uint32)
+
+    def __call__(self, text: str) -> str:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(codes):
+            return text
+        found = self.points[codes]
+        top = found.max()
+        if top == self.UNKNOWN:
+            for point in np.unique(codes[found == self.UNKNOWN]).tolist():
+                shape = self.table[point]
+                self.points[point] = ord(shape) if len(shape) == 1 else self.MORE if shape else self.NONE
+            found = self.points[codes]
+            top = found.max()
+        if top == self.MORE:
+            return text.translate(self.table)
+        if top == self.NONE:
+            found = found[found != self.NONE]
+        return found.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+_looks = Translation(TABLE)
+
+
 def folded(text: str) -> str:
     """The look of a text: equal for two texts exactly if they look the same throughout."""
-    return unicodedata.normalize("NFC", text.replace("\r\n", "\n").translate(TABLE))
+    return unicodedata.normalize("NFC", _looks(text.replace("\r\n", "\n")))
 
 
 _IDEOGRAPHS = "⺀-⿿぀-ヿ㐀-鿿豈-﫿가-힣\U00020000-\U0003ffff"

@@ -25,6 +25,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexweave.llm.lookalikes import TABLE
+from codexweave.llm.lookalikes import TABLE, Translation
 from codexweave.sources.tables import materialised, shared_folder
 
 #: Characters easily misread for each other, wrong before right. Fixed values.
@@ -53,6 +54,13 @@ MISREAD = (
 STRAY = "|~^_`'□丨¦\\{}<>*•°¬=+#@¤■◆♦※┃"
 #: Pages and damage of the training sample.
 SAMPLE_PAGES, DAMAGE, EPOCHS, MARGIN = 3000, 0.03, 6, 3.0
+#: Places of a line looked at to learn where blanks stand.
+CUTS = 4
+#: How often another reading has to stand in the corpus to be conceivable.
+MIN_SUPPORT = 3
+#: (line, place, kind, wrong, right, features, score) and (right, features, score).
+Edit = tuple[int, int, str, str, str, tuple[str, ...], float]
+Reading = tuple[str, tuple[str, ...], float]
 _CONFUSED: dict[str, list[str]] = defaultdict(list)
 for _pair in CONFUSED:
     _CONFUSED[_pair[0]].append(_pair[1])
@@ -75,13 +83,13 @@ class _Lines(dict):
         return value
 
 
-_LINES = _Lines()
+_lines = Translation(_Lines())
 
 
 def page_lines(text: str) -> list[str]:
     """A page's lines in one form of characters; a soft hyphen at a line's end stays a hyphen."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", re.sub("\xad(?=\\s*\\n|\\s*$)", "\u2010", text).translate(_LINES))
+        text = unicodedata.normalize("NFC", _lines(re.sub("\xad(?=\\s*\\n|\\s*$)", "\u2010", text) if "\xad" in text else text))
     return [line.rstrip() for line in text.split("\n")]
 
 
@@ -176,11 +184,19 @@ def _digitless(text: str) -> str:
     return re.sub(r"\d", "0", text)
 
 
-def joined_ideographs(lines: list[str]) -> tuple[str, np.ndarray]:
-    """The lines run together without blanks, and the line of each character."""
+def joined_ideographs(lines: list[str]) -> tuple[str, list[int], list[int]]:
+    """The lines run together without blanks, the line of each character, and where each line begins."""
     bare = ["".join(line.split()) for line in lines]
-    owner = np.repeat(np.arange(len(bare)), [len(line) for line in bare])
-    return _digitless("".join(bare)), owner
+    owner = [k for k, line in enumerate(bare) for _ in line]
+    starts = [0, *accumulate(map(len, bare))]
+    return _digitless("".join(bare)), owner, starts
+
+
+def _column(line: str, at: int) -> int:
+    """Place in a line of its character number ``at`` that is no blank."""
+    if at < len(line) and not any(map(str.isspace, line[: at + 1])):
+        return at
+    return next(islice((k for k, c in enumerate(line) if not c.isspace()), at, None))
 
 
 _WANTED = set(_CONFUSED) | {r for rights in _CONFUSED.values() for r in rights}
@@ -191,7 +207,7 @@ def count_page(lines: list[str], words: Counter, contexts: Counter) -> None:
     """Adds a page's words and compounds, and the contexts of its confusable ideographs."""
     zh = [line for line in lines if _ZH.search(line)]
     if zh:
-        text, _ = joined_ideographs(zh)
+        text = joined_ideographs(zh)[0]
         contexts.update([(text[max(0, at - 2) : at + 3], min(2, at)) for at in (m.start() for m in _WANTED_RE.finditer(text))])
         if len(zh) == len(lines):
             return
@@ -217,17 +233,6 @@ def expanded(words: Counter, contexts: Counter) -> Counter:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, contexts = Counter(), Counter()
-        for text in batch.column(0).to_pylist():
-            if text:
-                count_page(clean_lines(page_lines(text)), words, contexts)
-        counts = expanded(words, contexts)
-        halves = np.frombuffer(b"".join(map(digest, counts)), ">u8").astype(np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(list(counts.values()), pa.int64())], ["high", "low", "n"])
-
-
 def _writer(folder: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _located(folder)
@@ -245,16 +250,26 @@ def _writer(folder: str) -> object:
     return run
 
 
-def corpus_counts(pages: DataFrame) -> CountFiles:
-    """Exact counts over all pages; no count reaches the driver."""
-    folder = f"{shared_folder(pages.sparkSession)}/codexweave/counts-{uuid.uuid4().hex}"
+def corpus_counts(read: DataFrame) -> CountFiles:
+    """Exact counts over all pages, from ``read_pages``; no count reaches the driver."""
+    folder = f"{shared_folder(read.sparkSession)}/codexweave/counts-{uuid.uuid4().hex}"
     store, path = _located(folder)
     store.create_dir(path)
-    rows = pages.select("text").mapInArrow(_count, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
+    rows = read.where("n IS NOT NULL").groupBy("high", "low").agg(F.sum("n").alias("n"))
     rows.repartition(F.shiftrightunsigned("high", 56)).mapInArrow(_writer(folder), "n long").agg(F.sum("n")).collect()
     return CountFiles(folder)
 
 
+def _told(token: str) -> str:
+    """The word of a token that may be misread: of two letters at least, and no number."""
+    word = token.strip("'’|<>$")
+    if len(word) < 2 or word.isdigit():
+        return ""
+    if not word.isalpha() and (sum(map(str.isalpha, word)) < 2 or _MIXED_NUMBER.fullmatch(word)):
+        return ""
+    return word
+
+
 def _bin(n: float) -> int:
     return int(min(10, np.log2(n + 1)))
 
@@ -266,22 +281,35 @@ def _ratio(new: int, old: int) -> int:
 class Editor:
     """Averaged perceptron over the conceivable edits of a page.
 
-    An edit is (line, kind, wrong, right, features); kinds are replace, word (a replacement
-    within a Latin word), delete and join. ``decide`` keeps the text where the score is not
-    above zero.
+    An edit is (line, place in it, kind, wrong, right, features, score); kinds are replace,
+    word (a replacement within a Latin word) and delete; ``joins`` and ``blank_between``
+    decide on joining lines and on inserting a blank. Where the score is not above zero the
+    text is kept.
     """
 
     def __init__(self, counts: Counts, weights: dict[str, float] | None = None) -> None:
         self.counts = counts
         self.weights = weights or {}
+        self._plain_tokens: set[str] = set()
         self._words = lru_cache(maxsize=1 << 16)(self._word)
         self._windows = lru_cache(maxsize=1 << 18)(counts.__getitem__)
         self._readings = lru_cache(maxsize=1 << 17)(self._reading)
+        self._blanks = lru_cache(maxsize=1 << 14)(lambda left, right: self.score(_blank_features(left, right)) > 0)
+
+    def _set(self, weights: dict[str, float]) -> None:
+        """Takes new weights; what was scored with others is forgotten."""
+        self.weights = weights
+        for cache in (self._words, self._readings, self._blanks):
+            cache.cache_clear()
 
     def score(self, features: tuple[str, ...]) -> float:
         return sum(self.weights.get(f, 0.0) for f in features)
 
-    def _word(self, word: str) -> tuple[str, tuple[str, ...]] | None:
+    def blank_between(self, line: str, after: str) -> bool:
+        """Whether a blank has to be put in where two lines are joined."""
+        return self._blanks(line[-1:], after[:1])
+
+    def _word(self, word: str) -> Reading | None:
         """The likeliest other reading of a Latin word, with its features."""
         plain = word.casefold()
         own = self.counts[plain]
@@ -294,13 +322,14 @@ class Editor:
                 if n > own and (best is None or n > best[0]):
                     best = (n, other, wrong, right)
                 at = word.find(wrong, at + 1)
-        if best is None or best[0] < 3:
+        if best is None or best[0] < MIN_SUPPORT:
             return None
         n, other, wrong, right = best
         d = _ratio(n, own)
-        return other, ("w", f"w:r{d}", f"w:o{_bin(own)}", f"w:n{_bin(n)}", f"w:o{_bin(own)}n{_bin(n)}", f"w:{wrong}>{right}", f"w:l{min(8, len(word))}", f"w:r{d}l{min(5, len(word))}")
+        features = ("w", f"w:r{d}", f"w:o{_bin(own)}", f"w:n{_bin(n)}", f"w:o{_bin(own)}n{_bin(n)}", f"w:{wrong}>{right}", f"w:l{min(8, len(word))}", f"w:r{d}l{min(5, len(word))}")
+        return other, features, self.score(features)
 
-    def _reading(self, context: str, at: int) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    def _reading(self, context: str, at: int) -> tuple[Reading, ...]:
         """The conceivable other readings of the ideograph at ``at`` of a short context."""
         c, out = context[at], []
         old = [self._windows(w) for w in windows(context, at, c)]
@@ -310,64 +339,95 @@ class Editor:
             if 2 * (a + b) + min(a, b) <= sum(old):  # longer grams are no commoner than these
                 continue
             new = [a, b, *(self._windows(w) for w in grams[2:])]
-            if max(new) > 2 and sum(new) > sum(old):
+            if max(new) >= MIN_SUPPORT and sum(new) > sum(old):
                 d = [_ratio(n, o) for n, o in zip(new, old, strict=True)]
-                out.append((right, ("z", *(f"z:{i}r{r}" for i, r in enumerate(d)), f"z:m{min(d)}", f"z:x{max(d)}", f"z:s{d[0]}{d[1]}", f"z:t{d[2]}{min(d[3], d[4])}", f"z:o{_bin(old[2])}n{_bin(new[2])}", f"z:{c}{right}", f"z:{c}{right}{d[2]}")))
+                features = ("z", *(f"z:{i}r{r}" for i, r in enumerate(d)), f"z:m{min(d)}", f"z:x{max(d)}", f"z:s{d[0]}{d[1]}", f"z:t{d[2]}{min(d[3], d[4])}", f"z:o{_bin(old[2])}n{_bin(new[2])}", f"z:{c}{right}", f"z:{c}{right}{d[2]}")
+                out.append((right, features, self.score(features)))
         return tuple(out)
 
-    def edits(self, lines: list[str]) -> Iterator[tuple[int, str, str, str, tuple[str, ...]]]:
-        """The conceivable edits of a page's lines."""
+    def edits(self, lines: list[str]) -> Iterator[Edit]:
+        """The conceivable edits of a page's lines, each with its place in the line."""
         page = "\n".join(lines)
         bad, stray = garbled(page), _STRAY.search(page)
         clean = [i for i, line in enumerate(lines) if line and not (bad and garbled(line))]
         zh = [i for i in clean if _ZH.search(lines[i])]
-        text, owner = joined_ideographs([lines[i] for i in zh])
-        for m in _CONFUSED_RE.finditer(text):
-            at = m.start()
-            for right, features in self._readings(text[max(0, at - 2) : at + 3], min(2, at)):
-                yield zh[owner[at]], "replace", m[0], right, features
+        if zh:
+            text, owner, starts = joined_ideographs([lines[i] for i in zh])
+            readings = self._readings
+            for m in _CONFUSED_RE.finditer(text):
+                at = m.start()
+                found = readings(text[at - 2 : at + 3], 2) if at > 1 else readings(text[: at + 3], at)
+                for right, features, score in found:
+                    k = owner[at]
+                    yield zh[k], _column(lines[zh[k]], at - starts[k]), "replace", m[0], right, features, score
         if stray:
             for i in clean:
                 for m in _STRAY.finditer(lines[i]):
-                    yield i, "delete", m[0], "", _stray_features(lines[i], m.start())
+                    features = _stray_features(lines[i], m.start())
+                    yield i, m.start(), "delete", m[0], "", features, self.score(features)
         if _MIXED.search(page):
             for i in clean:
                 for m in _MIXED_NUMBER.finditer(lines[i]):
-                    yield i, "word", m[0], m[0].translate(_DIGITS), _number_features(m[0], lines[i])
+                    features = _number_features(m[0], lines[i])
+                    yield i, m.start(), "word", m[0], m[0].translate(_DIGITS), features, self.score(features)
+        if len(zh) == len(clean):
+            return
         dense = set(zh)
-        for i in clean if len(zh) < len(clean) else ():
+        latin = [i for i in clean if i not in dense and not (len(lines[i]) < 12 and numbers_of(lines[i]))]
+        odd = self._odd(set(_TOKEN.findall("\n".join([lines[i] for i in latin]))))
+        for i in latin:
             line = lines[i]
-            if i in dense or len(line) < 12 and numbers_of(line):
+            after = i > 0 and lines[i - 1][-1:] in _SIGNS and _BREAK.search(lines[i - 1])
+            before = line[-1] in _SIGNS and _BREAK.search(line)
+            if not (after or before or odd):
                 continue
             tokens = list(_TOKEN.finditer(line))
             for k, m in enumerate(tokens):
-                word = m[0].strip("'’|<>$")
-                if not 2 <= len(word) <= 30 or word.isdigit():
+                first, last = after and k == 0, before and k == len(tokens) - 1
+                if not (first or last or m[0] in odd):
                     continue
-                if not word.isalpha() and sum(map(str.isalpha, word)) < 2 or _MIXED_NUMBER.fullmatch(word):
+                word = _told(m[0])
+                if not word:
                     continue
-                found = self._words(word)
-                first = k == 0 and i and lines[i - 1][-1:] in _SIGNS and _BREAK.search(lines[i - 1])
-                last = k == len(tokens) - 1 and line[-1] in _SIGNS and _BREAK.search(line)
-                if first or last:
-                    found = self._half(word, lines, i, bool(last))
+                found = self._half(word, lines, i, bool(last)) if first or last else self._words(word)
                 if found:
-                    yield i, "word", word, found[0], found[1]
-
-    def _half(self, half: str, lines: list[str], i: int, is_left: bool) -> tuple[str, tuple[str, ...]] | None:
+                    yield i, m.start() + m[0].index(word), "word", word, *found
+
+    def _odd(self, tokens: set[str]) -> set[str]:
+        """The tokens of which another reading is conceivable."""
+        tokens -= self._plain_tokens
+        odd = {t for t in tokens if (word := _told(t)) and self._words(word)}
+        if len(self._plain_tokens) > 1 << 18:
+            self._plain_tokens.clear()
+        self._plain_tokens |= tokens - odd
+        return odd
+
+    def chosen(self, lines: list[str]) -> list[Edit]:
+        """The edits to be made, none of which meet, from right to left in each line."""
+        best = sorted((e for e in self.edits(lines) if e[-1] > 0), key=lambda e: -e[-1])
+        out: list[Edit] = []
+        taken: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for edit in best:
+            i, at, end = edit[0], edit[1], edit[1] + len(edit[3])
+            if all(end <= a or b <= at for a, b in taken[i]):
+                taken[i].append((at, end))
+                out.append(edit)
+        return sorted(out, key=lambda e: (e[0], -e[1]))
+
+    def _half(self, half: str, lines: list[str], i: int, is_left: bool) -> Reading | None:
         """Another reading of half a word that is broken over two lines."""
         j = i + 1 if is_left else i - 1
         other = _TOKEN.findall(lines[j]) if 0 <= j < len(lines) else []
         if not other:
             return None
         whole = half + other[0] if is_left else other[-1] + half
-        found = self._words(whole) if len(whole) <= 30 else None
+        found = self._words(whole)
         if not found:
             return None
         same = other[0] if is_left else other[-1]
         kept = found[0].endswith(same) if is_left else found[0].startswith(same)
         mine = found[0][: len(found[0]) - len(same)] if is_left else found[0][len(same) :]
-        return (mine, found[1]) if kept and mine != half else None
+        return (mine, *found[1:]) if kept and mine != half else None
 
     def joins(self, lines: list[str], skip: frozenset[int] = frozenset()) -> Iterator[tuple[int, str, tuple[str, ...]]]:
         """(line, whole word, features) of each line that ends within a word, hyphen last."""
@@ -391,18 +451,19 @@ class Editor:
         cases = []
         for lines in pages:
             damaged, touched = damage(lines, rng)
-            for i, kind, wrong, right, features in self.edits(damaged):
-                key = (i, wrong, right) if kind != "delete" else (i, wrong, "")
+            for i, at, _, wrong, right, features, _ in self.edits(damaged):
+                key = (i, at, wrong, right)
                 if key in touched or not glaring(features):
                     cases.append((features, key in touched))
             intact, breaks = break_words(lines, rng)
             for i, _, features in self.joins(intact):
                 if i in breaks:
                     cases.append((features, breaks[i]))
-        self.weights = fitted(cases, rng)
+            cases += [(_blank_features(left, right), wanted) for left, right, wanted in cut_lines(lines, rng)]
+        self._set(fitted(cases, rng))
         # noise the sample held before was labelled as to be kept: what the first fit takes for noise is left out
         sure = [(features, wanted) for features, wanted in cases if wanted or self.score(features) <= 0]
-        self.weights = fitted(sure, rng)
+        self._set(fitted(sure, rng))
 
 
 def glaring(features: tuple[str, ...]) -> bool:
@@ -451,18 +512,25 @@ def _stray_features(line: str, at: int) -> tuple[str, ...]:
     return "s", f"s:{c}", f"s:{l}{r}", f"s:{c}{l}{r}", f"s:again{min(3, again)}", f"s:{c}again{min(3, again)}", f"s:bare{bare}"
 
 
-def damage(lines: list[str], rng: random.Random) -> tuple[list[str], set[tuple[int, str, str]]]:
+def damage(lines: list[str], rng: random.Random) -> tuple[list[str], set[tuple[int, int, str, str]]]:
     """Lines with misread characters, words and stray signs, and the edits that mend them."""
     out, touched = [], set()
-    reverse = _REVERSE
     for i, line in enumerate(lines):
+        marks: list[list] = []
+
+        def put(line: str, at: int, end: int, bad: str, right: str, place: int, wrong: str) -> str:
+            """The line with ``bad`` put in, and the mark of the edit that undoes it."""
+            for mark in marks:
+                if mark[0] >= end:
+                    mark[0] += len(bad) - (end - at)
+            marks.append([place, wrong, right])
+            return line[:at] + bad + line[end:]
+
         if len(line.strip()) > 8 and not garbled(line):
-            chars = list(line)
-            for at, c in enumerate(chars):
-                if c in reverse and rng.random() < DAMAGE:
-                    chars[at] = rng.choice(reverse[c])
-                    touched.add((i, chars[at], c))
-            line = "".join(chars)
+            for at, c in enumerate(line):
+                if c in _REVERSE and rng.random() < DAMAGE:
+                    bad = rng.choice(_REVERSE[c])
+                    line = put(line, at, at + 1, bad, c, at, bad)
             if not _ZH.search(line):
                 for m in list(_TOKEN.finditer(line))[::-1]:
                     word = m[0]
@@ -472,24 +540,40 @@ def damage(lines: list[str], rng: random.Random) -> tuple[list[str], set[tuple[i
                             wrong, right = rng.choice(rules)
                             at = rng.choice([k for k in range(len(word)) if word.startswith(right, k)])
                             bad = word[:at] + wrong + word[at + len(right) :]
-                            line = line[: m.start()] + bad + line[m.end() :]
-                            touched.add((i, bad, word))
+                            line = put(line, m.start(), m.end(), bad, word, m.start(), bad)
             numbers = [m for m in re.finditer(r"\d{2,4}", line) if set(m[0]) & set(_LETTERS_FOR)]
             if numbers and rng.random() < 4 * DAMAGE:
                 m = rng.choice(numbers)
                 at = rng.choice([k for k, c in enumerate(m[0]) if c in _LETTERS_FOR])
                 bad = m[0][:at] + rng.choice(_LETTERS_FOR[m[0][at]]) + m[0][at + 1 :]
-                line = line[: m.start()] + bad + line[m.end() :]
-                touched.add((i, bad, m[0]))
+                line = put(line, m.start(), m.end(), bad, m[0], m.start(), bad)
             if rng.random() < 4 * DAMAGE:
                 sign = rng.choice("|~^_`'□丨")
                 at = rng.randrange(len(line) + 1)
-                line = line[:at] + sign + line[at:]
-                touched.add((i, sign, ""))
+                line = put(line, at, at, sign, "", at, sign)
         out.append(line)
+        touched |= {(i, *mark) for mark in marks}
     return out, touched
 
 
+def cut_lines(lines: list[str], rng: random.Random) -> Iterator[tuple[str, str, bool]]:
+    """(last character, first character, whether a blank stood between) of lines cut where a line may end."""
+    for line in lines:
+        if len(line) < 13 or garbled(line):
+            continue
+        for at in {rng.randrange(4, len(line) - 4) for _ in range(CUTS)}:
+            left, right = line[at - 1], line[at]
+            if right == " " and left != " " != line[at + 1]:
+                yield left, line[at + 1], True
+            elif " " not in left + right and not (_class(left) == _class(right) == "word" or _class(left) == _class(right) == "digit"):
+                yield left, right, False
+
+
+def _blank_features(left: str, right: str) -> tuple[str, ...]:
+    l, r = _class(left), _class(right)
+    return "b", f"b:{l}{r}", f"b:{left if l == 'sign' else l}>{r}", f"b:{l}>{right if r == 'sign' else r}"
+
+
 _REVERSE: dict[str, list[str]] = defaultdict(list)
 for _pair in CONFUSED:
     _REVERSE[_pair[1]].append(_pair[0])
@@ -555,56 +639,90 @@ def alike(a: str, b: str) -> bool:
         return True
     if not a or not b or abs(len(a) - len(b)) > 2 + len(b) // 12 or len(b) < 4:
         return False
+    most = max(1, len(b) // 10)
+    if len(set(b) - set(a)) > most:  # each missing character costs an edit at least
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= max(1, len(b) // 10)
+    return row[-1] <= most
 
 
 FURNITURE = "page_id long, job_key string, book string, page_number int, printed int, line_no int, form string, value int, name string"
+COUNT = "high long, low long, n long"
+_FURNITURE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+_COUNT_TYPES = [pa.int64()] * 3
+_NAMES = [c.split()[0] for c in f"{FURNITURE}, {COUNT}".split(", ")]
+_NUMBER_START = re.compile(r"[\s\W_]*[\dOolIivxcdmIVXLCDMPpSs第]")
 
 
-def _furniture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def edge_lines(lines: list[str], book: str | None, titles: dict[str | None, str]) -> Iterator[tuple[int, str, int, str | None]]:
+    """(line number, form, value, name) of a page's lines that may be furniture.
+
+    Page-position features: a number may stand on a line of its own anywhere, a title or a
+    chapter's name on the ``EDGE`` lines at the top and the foot.
+    """
+    filled = [i for i, line in enumerate(lines) if line.strip()]
+    if book not in titles:
+        titles[book] = name_of(line_form(book or ""))
+    title = titles[book]
+    edge = set(filled[:EDGE] + filled[-EDGE:])
+    for i in filled:
+        line = lines[i]
+        if _NUMBER_START.match(line) and (values := numbers_of(line)):
+            yield from ((i + 1, form, value, None) for form, value in values)
+        elif i in edge and not garbled(line):
+            if title and abs(len(_NO_LETTER.sub("", line)) - len(title)) <= 12 + len(title) // 12 and alike(name_of(line), title):
+                yield i + 1, "title", 0, title
+            elif _CHAPTER.match(line.strip()) and not _SENTENCE.search(line.strip()):
+                yield i + 1, "chapter", 0, name_of(line)
+
+
+_NO_LETTER = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"[。！？，；]|[.!?;]\s*$")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    titles: dict[str | None, str] = {}
     for batch in batches:
-        rows = []
+        words, contexts, rows = Counter(), Counter(), []
         for page, job, book, number, printed, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "job_key", "book", "page_number", "printed_page", "text")), strict=True):
             if not text:
                 continue
             lines = page_lines(text)
-            filled = [i for i, line in enumerate(lines) if line.strip()]
-            title = name_of(line_form(book or ""))
-            edge = set(filled[:EDGE] + filled[-EDGE:])
-            shown = int(printed) if printed and printed.strip().isdecimal() else None
-            for i in filled:
-                line = lines[i]
-                if len(line) > 120:
-                    continue
-                if values := numbers_of(line):
-                    rows += [(page, job, book, number, shown, i + 1, form, value, None) for form, value in values]
-                elif i in edge and not garbled(line):
-                    name = name_of(line)
-                    if title and alike(name, title):
-                        rows.append((page, job, book or job, number, shown, i + 1, "title", 0, title))
-                    elif len(name) <= 90 and _CHAPTER.match(line.strip()) and not re.search(r"[。！？，；]|[.!?;]\s*$", line.strip()):
-                        rows.append((page, job, book or job, number, shown, i + 1, "chapter", 0, name))
+            count_page(clean_lines(lines), words, contexts)
+            if page is not None:
+                shown = int(printed) if printed and printed.strip().isdecimal() else None
+                rows += [(page, job, book if name is None else book or job, number, shown, *found, name) for *found, name in edge_lines(lines, book, titles)]
+        counts = expanded(words, contexts)
+        halves = np.frombuffer(b"".join(map(digest, counts)), ">u8").astype(np.uint64).view(np.int64)
         columns = list(zip(*rows, strict=True)) or [()] * 9
-        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in FURNITURE.split(", ")])
+        told = [pa.array(c, t) for c, t in zip(columns, _FURNITURE_TYPES, strict=True)] + [pa.nulls(len(rows), t) for t in _COUNT_TYPES]
+        yield pa.RecordBatch.from_arrays(told, _NAMES)
+        numbers = [pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(counts), t) for t in _FURNITURE_TYPES), *numbers], _NAMES)
+
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """All that is learned of the corpus beforehand, in one pass over the texts, as a written table.
 
-def furniture(pages: DataFrame) -> DataFrame:
-    """``page_id, line_no, kind``: running heads and feet (header) and page numbers.
+    Rows of FURNITURE for the lines that may be running heads or page numbers, and rows of
+    COUNT, the counts of words and windows in each batch of pages.
+    """
+    columns = pages.select(F.col("page_id").cast("long").alias("page_id"), "job_key", "book", F.col("page_number").cast("int").alias("page_number"), "printed_page", "text")
+    return materialised(columns.mapInArrow(_read, f"{FURNITURE}, {COUNT}"), "scan-pages")
+
+
+def furniture(read: DataFrame) -> DataFrame:
+    """``page_id, line_no, kind``: running heads and feet (header) and page numbers, from ``read_pages``.
 
     A number is its page's own if it stands as far from page_number as most of its job's, or
     is the page's printed_page. A title counts on every page; a chapter's name where an
     earlier page of the book, in any job, had it, so the first, the chapter's opening, is none.
     """
-    columns = pages.where(F.col("page_id").isNotNull()).select(
-        F.col("page_id").cast("long").alias("page_id"), "job_key", "book", F.col("page_number").cast("int").alias("page_number"), "printed_page", "text"
-    )
-    found = materialised(columns.mapInArrow(_furniture, FURNITURE), "furniture")
+    found = read.where("form IS NOT NULL").drop("high", "low", "n")
     numbers = found.where("form in ('arabic', 'roman')").withColumn("offset", F.col("page_number") - F.col("value"))
     support = numbers.groupBy("job_key", "form", "offset").agg(F.count_distinct("page_id").alias("n"))
     usual = support.groupBy("job_key", "form").agg(F.max_by("offset", F.struct("n", -F.abs("offset"))).alias("usual"), F.max("n").alias("n"))
@@ -618,9 +736,9 @@ def furniture(pages: DataFrame) -> DataFrame:
     return page_numbers.unionByName(heads.withColumn("kind", F.lit("header"))).distinct()
 
 
-def trained_editor(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Editor:
+def trained_editor(pages: DataFrame, read: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Editor:
     """An editor with counts of all pages, fitted to ``sample_pages`` of them at most."""
-    editor = Editor(corpus_counts(pages))
+    editor = Editor(corpus_counts(read))
     sample = pages.where(F.length("text") > 200).select("page_id", "text").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
     editor.train([page_lines(r.text) for r in sample.collect()])
     return editor
@@ -629,7 +747,7 @@ def trained_editor(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Editor
 def noisy_lines(text: str, editor: Editor) -> list[tuple[int, str]]:
     """(line number, misread or hyphen) of a page's lines, numbered from 1."""
     lines = page_lines(text)
-    found = {(i + 1, "misread") for i, _, _, _, features in editor.edits(lines) if editor.score(features) > 0}
+    found = {(edit[0] + 1, "misread") for edit in editor.edits(lines) if edit[-1] > 0}
     found |= {(i + 1, "hyphen") for i, _, features in editor.joins(lines) if editor.score(features) > 0}
     return sorted(found)
 
@@ -652,40 +770,63 @@ def noise(pages: DataFrame) -> DataFrame:
 
     Null and empty texts have none; repeated rows of a page give each case once.
     """
-    editor = trained_editor(pages)
+    read = read_pages(pages)
+    editor = trained_editor(pages, read)
     model = pages.sparkSession.sparkContext.broadcast((editor.counts.folder, editor.weights))
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "text")
     edited = rows.mapInArrow(_finder(model), "page_id long, line_no int, kind string")
-    return edited.unionByName(furniture(pages)).distinct()
+    return edited.unionByName(furniture(read)).distinct()
+
+
+def stored_lines(text: str, lines: list[str]) -> list[str]:
+    """The lines as stored where they are as long as in one form; else in one form."""
+    raw = text.split("\n")
+    if len(raw) != len(lines):
+        return list(lines)
+    return [r[: len(line)] if len(r.rstrip()) == len(line) else line for r, line in zip(raw, lines, strict=True)]
 
 
 def repaired_text(text: str, dropped: set[int], editor: Editor) -> str:
-    """A page as continuous paragraphs, without furniture and with the chosen edits made."""
+    """A page as continuous paragraphs, without furniture and with the chosen edits made.
+
+    Each edit is made at its own place. Characters that are not edited stay as stored where
+    a line's stored form is as long as the one it was read in.
+    """
     lines = page_lines(text)
-    for i, kind, wrong, right, features in list(editor.edits(lines)):
-        if editor.score(features) > 0:
-            lines[i] = lines[i].replace(wrong, right, 1)
+    shown = stored_lines(text, lines)
+    for i, at, _, wrong, right, _, _ in editor.chosen(lines):
+        end = at + len(wrong)
+        if line_form(shown[i][at:end]) != wrong.rstrip():
+            shown[i] = lines[i]
+        lines[i] = lines[i][:at] + right + lines[i][end:]
+        shown[i] = shown[i][:at] + right + shown[i][end:]
     cut = {i for i, _, features in editor.joins(lines, frozenset(dropped)) if editor.score(features) > 0}
-    out, at_break = [], False
+    longest = max(map(len, lines))
+    out, last, at_break = [], "", False
     for i, line in enumerate(lines):
         if i in dropped:
             continue
         body = line.strip()
         if not body:
             out.append("\n\n")
+            last = ""
             continue
         indented = line[:1] in " \t" and line[:2].strip() == ""
-        if out and not out[-1].endswith("\n"):
-            last = out[-1][-1]
-            if indented or re.search(r"[.!?。！？”]$", out[-1]) and len(out[-1]) < 0.7 * max(map(len, lines)):
+        if last:
+            if indented or _ENDED.search(last) and len(last) < 0.7 * longest:
                 out.append("\n")
-            elif not at_break and not (_ZH.match(last) or _ZH.match(body[0]) or last in "，。、；：？！“”（）" or body[0] in "，。、；：？！“”（）"):
+            elif not at_break and editor.blank_between(last, body):
                 out.append(" ")
         at_break = i in cut or bool(_BREAK.search(line))
-        out.append(re.sub(r"[-‐­¬]\s*$", "", body) if i in cut else body)
+        kept = shown[i].strip()
+        out.append(re.sub(r"[-‐­¬]\s*$", "", kept) if i in cut else kept)
+        last = body
     return re.sub(r"\n{2,}", "\n", "".join(out)).strip("\n")
 
 
+_ENDED = re.compile(r"[.!?。！？”]$")
+
+
 def _repairer(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         editor = Editor(CountFiles(model.value[0]), model.value[1])
@@ -701,8 +842,9 @@ def _repairer(model) -> object:
 
 def repaired(pages: DataFrame) -> DataFrame:
     """``page_id, text``: each page once, as continuous readable paragraphs (one a line)."""
-    editor = trained_editor(pages)
+    read = read_pages(pages)
+    editor = trained_editor(pages, read)
     model = pages.sparkSession.sparkContext.broadcast((editor.counts.folder, editor.weights))
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "text").dropDuplicates(["page_id"])
-    dropped = furniture(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("dropped"))
+    dropped = furniture(read).groupBy("page_id").agg(F.collect_set("line_no").alias("dropped"))
     return rows.join(dropped, "page_id", "left").mapInArrow(_repairer(model), "page_id long, text string")

@@ -303,7 +303,7 @@ def test_counts_of_a_large_vocabulary_are_exact(spark):
 
     rows = [(p, "j", "\n".join("x " + " ".join(word(n) for n in range(line, line + 50)) for line in range(p * 5000, p * 5000 + 5000, 50))) for p in range(300)]
     rows += [(1000 + i, "j", "x abacus furnace 石匠把木桶搬到日晷旁\nx abacus furnace") for i in range(4)]
-    counts = scan_noise.corpus_counts(pages_of(spark, rows))
+    counts = scan_noise.corpus_counts(scan_noise.read_pages(pages_of(spark, rows)))
     assert all(counts[word(n)] == 1 for n in range(0, 1_500_000, 101))
     assert not any(counts[word(n) + "q"] for n in range(20_000))
     assert (counts["furnace"], counts["abacus"], counts["木桶>"], counts["到日晷"]) == (4, 4, 4, 4)
@@ -327,11 +327,57 @@ def test_perceptron_on_held_out_pages():
     rng, right, wrong, missed = random.Random(8), 0, 0, 0
     for page in lines[80:]:
         damaged, touched = scan_noise.damage(page, rng)
-        told = {(i, w, r) for i, _, w, r, f in editor.edits(damaged) if editor.score(f) > 0}
+        told = {(i, at, w, r) for i, at, _, w, r, _, _ in editor.chosen(damaged)}
         right, wrong, missed = right + len(told & touched), wrong + len(told - touched), missed + len(touched - told)
     assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.8
 
 
+class Chooses(scan_noise.Editor):
+    """Makes the edits that are handed in and no other."""
+
+    def __init__(self, *edits):
+        super().__init__(scan_noise.Counts(), {"b": 1.0})
+        self.made = edits
+
+    def edits(self, lines):
+        return iter(self.made)
+
+
+@pytest.mark.parametrize(
+    ("text", "edit", "want"),
+    [
+        ("supermodems like modem ways here", (0, 17, "word", "modem", "modern", (), 1.0), "supermodems like modern ways here"),
+        ("今日天气晴朗人日光人", (0, 7, "replace", "日", "目", (), 1.0), "今日天气晴朗人目光人"),
+        ("a = b and wo=rd", (0, 2, "delete", "=", "", (), 1.0), "a  b and wo=rd"),
+        ("，，　全角，日日", (0, 7, "replace", "日", "目", (), 1.0), "，，　全角，日目"),
+    ],
+)
+def test_edits_are_made_at_their_own_place(text, edit, want):
+    assert scan_noise.repaired_text(text, set(), Chooses(edit)) == want
+
+
+def test_edits_that_meet_are_not_both_made():
+    made = Chooses((0, 0, "word", "ab", "cd", (), 1.0), (0, 1, "delete", "b", "", (), 2.0), (0, 3, "delete", "c", "", (), 1.0))
+    assert scan_noise.repaired_text("abxc", set(), made) == "ax"
+
+
+def test_lines_are_joined_with_a_blank_where_words_need_one():
+    editor = scan_noise.Editor(scan_noise.Counts())
+    pages = [["据记载，守塔人与石匠已经把木桶搬到日晷旁，大潮之夜才清点。", "The mill stood beside the river, and the kiln was sold in 1846 to the smith."] * 20] * 4
+    editor.train([scan_noise.page_lines("\n".join(page)) for page in pages])
+    assert editor.blank_between("the old", "mill") and editor.blank_between("the mill,", "and")
+    assert not editor.blank_between("守塔", "人与") and not editor.blank_between("记载,", "守塔")
+
+
+def test_damage_marks_the_places_of_its_edits():
+    rng = random.Random(3)
+    for lines in noisy_pages():
+        damaged, touched = scan_noise.damage(lines, rng)
+        for i, at, wrong, right in touched:
+            if not any(j == i and a != at and a < at + len(wrong) and at < a + len(w) for j, a, w, _ in touched):
+                assert damaged[i].startswith(wrong, at) or any(j == i and at < a < at + len(wrong) for j, a, _, _ in touched)
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run_on_the_smallest_tables(spark, name):
     df = queries.queries()[name](spark, "/root/testdata/sf0.001")
