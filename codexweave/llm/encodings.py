@@ -7,7 +7,8 @@ operations but where a lower bound shows that nothing cheaper lies behind; the c
 characters' implausibility in bits, learned by counting the characters of the whole corpus
 but for pages that look damaged by their structure alone. A page is damaged if its text
 holds a decoder's replacement character, or if a cheaper text is reachable from any stretch
-by more than ``MIN_GAIN`` bits.
+by more than ``MIN_GAIN`` bits. For a stretch of more than ``GOAL_CHARS`` characters a state
+that is taken up as the cheapest and has hardly any implausible character is the goal.
 
 The counts are one row per code point (at most 1,114,112 whatever the corpus), so they are
 the only thing collected and broadcast. Pages are handled one by one in Arrow batches.
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexweave.llm.lookalikes import TABLE
+
 #: Codecs text may have been decoded with, and codecs its bytes may have been written in.
 WRONG = ("cp1252x", "latin-1", "mac_roman", "cp1251", "cp1250", "cp850", "cp437", "koi8_r", "gb18030", "big5hkscs", "cp950", "cp932", "cp949", "utf-8")
 TRUE = ("utf-8", "gb18030", "cp1252x", "big5hkscs", "mac_roman", "cp850", "cp1251", "cp932")
@@ -42,7 +45,15 @@ TABLE_GAIN = 6.0
 #: Operations of a path; those up to which every path is walked; and beyond these the states
 #: that are followed further, of those that are no costlier than the text as it is.
 MAX_STEPS, ALL_STEPS, MAX_STATES = 4, 2, 40
+#: A text longer than this is restored where the first state taken up, the cheapest so far,
+#: has plausible characters, all but one in so many; a shorter one could look so by chance, and
+#: all is walked.
+GOAL_CHARS, ODD_RARITY = 24, 30
 REPLACEMENT = "�"
+#: Stands for a replacement character that was written, and so lost, before the wrong decoding;
+#: it costs little, since that explains what is read there now.
+TOLD_LOSS, TOLD_COST = "\x1c", 8.0
+_WRITTEN_LOSS = REPLACEMENT.encode()
 
 
 def _charmap(base: str) -> tuple[str, dict]:
@@ -67,6 +78,9 @@ def to_bytes(text: str, codec: str) -> bytes:
 
 
 def to_text(data: bytes, codec: str) -> str:
+    """Text of ``data``; a replacement character that was written as such becomes ``TOLD_LOSS``."""
+    if codec == "utf-8" and _WRITTEN_LOSS in data:
+        data = data.replace(_WRITTEN_LOSS, TOLD_LOSS.encode())
     if codec == "cp1252x":
         return codecs.charmap_decode(data, "replace", _tables(codec)[0])[0]
     return data.decode(codec, "replace")
@@ -91,16 +105,31 @@ STRUCTURE = re.compile(
 )
 
 
+def _loss_marks() -> str:
+    """What written replacement characters look like through each wrong codec, as alternatives."""
+    marks = {(_WRITTEN_LOSS * 2).decode(c, "replace") for c in ("latin-1", "mac_roman", "cp1251", "cp850", "cp437", "koi8_r", "gb18030", "big5hkscs")}
+    return "|".join(sorted(re.escape(m) for m in marks if REPLACEMENT not in m))
+
+
+_DAMAGED = re.compile(f"{STRUCTURE.pattern}|{_loss_marks()}")
+#: A character counts at most so often a page where it stands on less than such a share of all
+#: pages: what is garbled all over one page does not become plausible by that.
+PAGE_CAP, COMMON_SHARE = 3, 0.02
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0x110000, np.int64)
+    counts, on = np.zeros(0x110000, np.int64), np.zeros(0x110000, np.int64)
+    pages = 0
     for batch in batches:
-        clean = [t for t in batch.column(0).to_pylist() if t and not STRUCTURE.search(t)]
-        if clean:
-            codes = np.frombuffer("".join(clean).encode("utf-32-le"), np.uint32)
-            seen = np.bincount(codes)
-            counts[: len(seen)] += seen
-    points = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int32)), pa.array(counts[points])], ["point", "n"])
+        for text in batch.column(0).to_pylist():
+            if text and not _DAMAGED.search(text):
+                points, n = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
+                counts[points] += n
+                on[points] += 1
+                pages += 1
+    counts[0] = pages  # stands for no character
+    points = np.union1d(np.flatnonzero(counts), [0])
+    yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int32)), pa.array(counts[points]), pa.array(on[points])], ["point", "n", "pages"])
 
 
 def char_costs(texts: DataFrame) -> np.ndarray:
@@ -109,17 +138,44 @@ def char_costs(texts: DataFrame) -> np.ndarray:
     All rows are counted except structurally damaged ones; CJK compatibility forms and the
     like are as implausible as they are rare. White space and ASCII are never implausible.
     """
-    rows = texts.mapInArrow(_count, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(_count, "point int, n long, pages long").groupBy("point").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")).collect()
+    return _costs_from([(r.point, r.n, r.pages) for r in rows])
+
+
+def _costs_from(rows: list[tuple[int, int, int]]) -> np.ndarray:
+    """Costs from (code point, occurrences, pages), code point 0 with the number of all pages."""
     costs = np.full(0x110000, UNSEEN, np.float32)
-    total = sum(r.n for r in rows) or 1
-    for r in rows:
-        costs[r.point] = min(UNSEEN, -np.log2((r.n + 0.01) / total))
+    all_pages = sum(n for point, n, _ in rows if not point)
+    total = sum(n for point, n, _ in rows if point) or 1
+    for point, n, pages in rows:
+        if pages < COMMON_SHARE * all_pages:
+            n = min(n, PAGE_CAP * pages)
+        if point:
+            costs[point] = min(UNSEEN, -np.log2((n + 0.01) / total))
     costs[0x20:0x7F] = np.minimum(costs[0x20:0x7F], 8.0)
     costs[[0x09, 0x0A, 0x0D]] = 4.0
     costs[0x1A] = costs[0xFFFD] = LOST
+    costs[ord(TOLD_LOSS)] = TOLD_COST
     return costs
 
 
+def seed_costs(costs: np.ndarray) -> np.ndarray:
+    """Costs by which a character makes a stretch suspicious: those of its look, where that is one character.
+
+    Width, compatibility and look-alike forms of plausible characters are no sign of a wrong
+    encoding; the search itself takes the characters as they are.
+    """
+    seeds = costs.copy()
+    for point in np.flatnonzero(costs[: 0x30000] >= SUSPICIOUS).tolist():
+        if (costs[point] < UNSEEN or _FORMS.match(chr(point))) and len(shape := TABLE[point]) == 1:
+            seeds[point] = min(seeds[point], costs[ord(shape)])
+    return seeds
+
+
+#: Where most compatibility and look-alike forms stand, seen in the corpus or not.
+_FORMS = re.compile("[\u0370-\u052f\u2e80-\u2fdf\uf900-\ufaff\uff00-\uffef]")
+
+
 def cost_of(text: str, costs: np.ndarray) -> float:
     return float(costs[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].sum())
 
@@ -132,10 +188,10 @@ def costs_of(texts: list[str], costs: np.ndarray) -> list[float]:
     return np.add.reduceat(costs[codes], np.cumsum([0, *map(len, texts[:-1])]), dtype=np.float64).tolist()
 
 
-def stretches(text: str, costs: np.ndarray) -> list[tuple[int, int]]:
+def stretches(text: str, costs: np.ndarray, seeds: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spans around suspicious characters: non-ASCII runs, joined over short gaps."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    bad = np.flatnonzero((costs[codes] >= SUSPICIOUS) & (codes > 0x7F))
+    bad = np.flatnonzero(((costs if seeds is None else seeds)[codes] >= SUSPICIOUS) & (codes > 0x7F))
     if not len(bad):
         return []
     spans: list[list[int]] = []
@@ -190,6 +246,8 @@ def cheapest(text: str, costs: np.ndarray) -> tuple[str, float, tuple[str, ...]]
             taken += 1
             if cost > start or taken > MAX_STATES:
                 continue
+        if steps and len(text) > GOAL_CHARS and start - cost >= needed and is_plausible(state, costs):
+            break
         if least(state, steps, floor) >= min(best[0], start - needed):
             continue
         new = {after: name for after, name in neighbours(state, known) if after not in visited and not visited.add(after)}
@@ -202,6 +260,12 @@ def cheapest(text: str, costs: np.ndarray) -> tuple[str, float, tuple[str, ...]]
     return best[1], start - best[0], best[2]
 
 
+def is_plausible(state: str, costs: np.ndarray) -> bool:
+    """Whether at most one character in ``ODD_RARITY`` is suspicious or lost."""
+    odd = costs[np.frombuffer(state.encode("utf-32-le", "replace"), np.uint32)] >= SUSPICIOUS
+    return int(odd.sum()) * ODD_RARITY <= len(odd)
+
+
 def least(state: str, steps: int, floor: float) -> float:
     """What any text behind a state costs at least.
 
@@ -218,9 +282,13 @@ def _floor(model: int) -> float:
     return float(_MODELS[model][0x80:].min())
 
 
+#: Characters that no single-byte table gives.
+_WIDE = re.compile("[\u3000-\ud7ff\ue000-\uf8fe\uf900-\ufaff\ufb03-\U0010ffff]")
+
+
 def neighbours(state: str, known: dict[bytes, set[str]]) -> Iterator[tuple[str, str]]:
     """States one operation away, with the operation's name, but for bytes ``known`` to be decoded so before."""
-    wide = max(state, default="") >= "\u3000"  # no single-byte table gives such
+    wide = _WIDE.search(state)
     for wrong in WRONG[8:] if wide else WRONG:
         data = to_bytes(state, wrong)
         if data.count(b"\x1a") * 4 > len(state) + 3:  # not what this codec gives
@@ -329,9 +397,9 @@ def widened(text: str, a: int, b: int, low: int, after: str, path: tuple[str, ..
     return best[2:]
 
 
-def repair(text: str, costs: np.ndarray) -> tuple[str, float, bool]:
+def repair(text: str, costs: np.ndarray, seeds: np.ndarray | None = None) -> tuple[str, float, bool]:
     """``(text as far as restored, bits gained, whether any loss is left)`` of one page."""
-    spans = with_escapes(text, stretches(text, costs))
+    spans = with_escapes(text, stretches(text, costs, seeds))
     if not spans:
         return text, 0.0, REPLACEMENT in text
     _MODELS[id(costs)] = costs
@@ -348,16 +416,17 @@ def repair(text: str, costs: np.ndarray) -> tuple[str, float, bool]:
             out += [text[at:a], after]
             at, total = b, total + gain
     fixed, more = one_table("".join([*out, text[at:]]), costs)
+    fixed = fixed.replace(TOLD_LOSS, REPLACEMENT)
     return fixed, total + more, REPLACEMENT in fixed or "\x1a" in fixed
 
 
 def _repairer(costs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = costs.value
+        table, seeds = costs.value
         for batch in batches:
             texts, gains, lost, found = [], [], [], []
             for text in batch.column("text").to_pylist():
-                fixed, gain, loss = repair(text, table) if text and not text.isascii() else (text, 0.0, False)
+                fixed, gain, loss = repair(text, table, seeds) if text and not text.isascii() else (text, 0.0, False)
                 if text and text.isascii() and any(p.search(text) for p, _ in ESCAPES):
                     after, gain, path = cheapest(text, table)
                     fixed, gain = (after, gain) if path and gain >= CLEAN_GAIN else (text, 0.0)
@@ -380,7 +449,8 @@ def repaired(pages: DataFrame) -> DataFrame:
     are lost and stay so. Null and empty texts stay as they are and are never found.
     """
     spark = pages.sparkSession
-    costs = spark.sparkContext.broadcast(char_costs(pages.select("text")))
+    found = char_costs(pages.select("text"))
+    costs = spark.sparkContext.broadcast((found, seed_costs(found)))
     columns = pages.where(F.col("page_id").isNotNull()).select("page_id", "text")
     return columns.mapInArrow(_repairer(costs), "page_id long, text string, gain double, lossy boolean, found boolean")
 
