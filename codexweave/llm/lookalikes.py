@@ -11,18 +11,18 @@ depends on the look alone, so pages that look equal come out equal.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexweave.llm.key_files import KeyFiles, digest, halves, key_files
 from codexweave.sources.tables import materialised
 
 #: Letters of other alphabets and the Latin letters they look like. Fixed values.
@@ -38,8 +38,8 @@ SHOWN = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>", "<vertical>",
 ALIKE = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Characters that do not show, besides those of category Cf. Fixed values.
 INVISIBLE = frozenset([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
-#: A vocabulary with at most so many canonical spellings unlike the table's goes to every task.
-BROADCAST_SPELLINGS = 200_000
+#: Rows of the vocabulary that make one trie, but for the words of one look, which stay together.
+TRIE_ROWS = 20_000
 #: Least count of a spelling that may be canonical.
 MIN_COUNT = 2
 
@@ -145,22 +145,21 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = node.get("", 0) + count
 
-    def matches(self, word: str, budget: int = 0) -> list[tuple[int, int, str]]:
-        """(cost, count, spelling) within the budget; look-alikes and ignorables cost nothing."""
-        target, found = folded(word), []
-        stack = [(self.root, 0, "", 0)]
+    def matches(self, look: str) -> list[tuple[int, str]]:
+        """(count, spelling) of the words with a look: the automaton's paths of no cost.
+
+        Look-alikes and characters that do not show cost nothing; whatever shows costs, and
+        since a word that differs at sight is another word, nothing beyond 0 is accepted.
+        """
+        found, stack = [], [(self.root, 0, "")]
         while stack:
-            node, at, spelling, cost = stack.pop()
+            node, at, spelling = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if at == len(target):
-                        found.append((cost, child, spelling))
-                    continue
-                shape = TABLE[ord(c)]
-                if target.startswith(shape, at):
-                    stack.append((child, at + len(shape), spelling + c, cost))
-                elif cost < budget:
-                    stack.append((child, min(len(target), at + 1), spelling + c, cost + 1))
+                    if at == len(look):
+                        found.append((child, spelling))
+                elif look.startswith(shape := TABLE[ord(c)], at):
+                    stack.append((child, at + len(shape), spelling + c))
         return found
 
 
@@ -177,86 +176,98 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _canonical(rows: pd.DataFrame) -> pd.DataFrame:
-    """Canonical spelling of each look in one bucket of the vocabulary."""
+def canonical(vocabulary: dict[str, Counter]) -> list[tuple[str, str]]:
+    """(look, canonical spelling) where it is not the look itself, of some looks and their words' counts."""
     trie = Trie()
-    for word, n in zip(rows.word, rows.n, strict=True):
-        if n >= MIN_COUNT and is_spelling(word):
-            trie.add(word, int(n))
+    for words in vocabulary.values():
+        for word, n in words.items():
+            if n >= MIN_COUNT and is_spelling(word):
+                trie.add(word, n)
     out = []
-    for shape in rows.look.drop_duplicates():
-        found = trie.matches(shape)
-        if found:
-            best = max(found, key=lambda m: (-m[0], m[1], m[2].isascii(), m[2]))[2]
+    for shape, words in vocabulary.items():
+        if shape and any(word != shape for word in words) and (found := trie.matches(shape)):
+            best = max(found, key=lambda m: (m[0], m[1].isascii(), m[1]))[1]
             if best != shape:
                 out.append((shape, best))
-    return pd.DataFrame(out, columns=["look", "spelling"])
+    return out
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Canonical spellings from the vocabulary in order of look, one trie after another."""
+    vocabulary, size = {}, 0
+    for batch in batches:
+        for shape, word, n in zip(*(batch.column(c).to_pylist() for c in ("look", "word", "n")), strict=True):
+            if size >= TRIE_ROWS and shape not in vocabulary:
+                yield _spelled(canonical(vocabulary))
+                vocabulary, size = {}, 0
+            vocabulary.setdefault(shape, Counter())[word] += n
+            size += 1
+    yield _spelled(canonical(vocabulary))
 
 
-def spellings(pages: DataFrame) -> DataFrame:
-    """``look, spelling``: canonical spellings that the table alone would not give.
+def _spelled(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*halves(r[0] for r in rows), pa.array([r[1] for r in rows], pa.string())], ["high", "low", "spelling"])
 
-    Words are counted within each batch before anything is shuffled; words that look the
-    same meet in one of the vocabulary's buckets, each of which makes its own trie.
+
+def spellings(pages: DataFrame) -> KeyFiles:
+    """Canonical spellings by look, those that the table alone would not give.
+
+    Words are counted within each batch before anything is shuffled; then the words of one
+    look, which are few, meet. Neither the vocabulary nor the spellings are collected.
     """
     words = pages.select("text").mapInArrow(_words, "look string, word string, n long")
-    counted = words.groupBy("look", "word").agg(F.sum("n").alias("n"))
-    odd = counted.groupBy("look").agg(F.collect_list(F.struct("word", "n")).alias("w"), F.max(F.col("word") != F.col("look")).alias("odd"))
-    rows = odd.where("odd").select("look", F.explode("w").alias("w")).select("look", "w.word", "w.n", F.pmod(F.xxhash64("look"), F.lit(64)).alias("bucket"))
-    return rows.groupBy("bucket").applyInPandas(lambda pdf: _canonical(pdf), "look string, spelling string")
+    ordered = words.repartition("look").sortWithinPartitions("look")
+    return key_files(ordered.mapInArrow(_spell, "high long, low long, spelling string"), "spellings")
 
 
-def canonical_text(text: str, known: dict[str, str]) -> str:
-    shape = folded(text)
-    return WORD.sub(lambda m: known.get(m[0], m[0]), shape) if known else shape
+class Speller:
+    """Canonical forms by the corpus' spellings; what has been asked is remembered."""
 
+    def __init__(self, folder: str) -> None:
+        self.files = KeyFiles(folder)
+        self.plain: set[str] = set()
+        self.known = lru_cache(maxsize=1 << 16)(self.files.text)
+
+    def __call__(self, text: str) -> str:
+        shape = folded(text)
+        words = set(WORD.findall(shape)) - self.plain
+        told = {w: s for w in words if (s := self.known(w))}
+        if len(self.plain) > 1 << 18:
+            self.plain.clear()
+        self.plain |= words - told.keys()
+        return WORD.sub(lambda m: told.get(m[0], m[0]), shape) if told else shape
 
-def _forms(known) -> object:
+
+def _forms(folder: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+        spell = Speller(folder)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            forms = [None if t is None else canonical_text(t, table) for t in texts]
+            forms = [None if t is None else spell(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("text"), pa.array(forms, pa.string())], ["page_id", "text", "form"])
 
     return run
 
 
-def _joined_forms(shapes: DataFrame, known: DataFrame) -> DataFrame:
-    """The canonical forms where the spellings are too many to broadcast: words are joined."""
-    pattern = rf"(?U)[\p{{IsAlphabetic}}\p{{M}}&&[^{_IDEOGRAPHS}]]+|[^\p{{IsAlphabetic}}\p{{M}}&&[^{_IDEOGRAPHS}]]+"
-    parts = shapes.select("page_id", "text", F.posexplode_outer(F.regexp_extract_all("form", F.lit(pattern), F.lit(0))).alias("at", "look"))
-    told = parts.join(known, "look", "left").withColumn("part", F.coalesce("spelling", "look"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "part")))
-    return told.groupBy("page_id", "text").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("form"))
-
-
 def forms(pages: DataFrame) -> DataFrame:
     """``page_id, text, form`` of every stored row: its text and the canonical form of it.
 
     A null text has a null form, an empty one an empty form; rows without page_id are left
     out. White space keeps its place: each blank becomes one space, line ends stay.
     """
-    spark = pages.sparkSession
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long"), "text")
-    known = materialised(spellings(rows), "spellings")
-    schema = "page_id long, text string, form string"
-    if known.count() <= BROADCAST_SPELLINGS:
-        table = spark.sparkContext.broadcast({r.look: r.spelling for r in known.collect()})
-        return rows.mapInArrow(_forms(table), schema)
-    return _joined_forms(rows.mapInArrow(_forms(spark.sparkContext.broadcast({})), schema), known)
+    return rows.mapInArrow(_forms(spellings(rows).folder), "page_id long, text string, form string")
 
 
-def _digests(known) -> object:
+def _digests(folder: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+        spell = Speller(folder)
         for batch in batches:
             ids, form, text = [], [], []
             for page, stored in zip(batch.column("page_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if stored and (shape := canonical_text(stored, table)).strip():
+                if stored and (shape := spell(stored)).strip():
                     ids.append(page)
-                    form.append(hashlib.md5(shape.encode("utf-8")).digest())
-                    text.append(hashlib.md5(stored.encode("utf-8")).digest())
+                    form.append(digest(shape))
+                    text.append(digest(stored))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(form, pa.binary()), pa.array(text, pa.binary())], ["page_id", "form", "stored"])
 
     return run
@@ -267,27 +278,37 @@ def classes(pages: DataFrame) -> DataFrame:
 
     Each page once; pages with null or blank text have none.
     """
-    spark = pages.sparkSession
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long"), "text")
-    known = materialised(spellings(rows), "spellings")
-    if known.count() <= BROADCAST_SPELLINGS:
-        table = spark.sparkContext.broadcast({r.look: r.spelling for r in known.collect()})
-        found = rows.mapInArrow(_digests(table), "page_id long, form binary, stored binary")
-    else:
-        shown = _joined_forms(rows.mapInArrow(_forms(spark.sparkContext.broadcast({})), "page_id long, text string, form string"), known)
-        found = shown.where(F.trim("form") != "").select("page_id", F.unhex(F.md5(F.col("form").cast("binary"))).alias("form"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("stored"))
-    return found.dropDuplicates(["page_id"])
+    found = rows.mapInArrow(_digests(spellings(rows).folder), "page_id long, form binary, stored binary")
+    return found.groupBy("page_id").agg(F.min(F.struct("form", "stored")).alias("d")).select("page_id", "d.form", "d.stored")
+
+
+def look_classes(pages: DataFrame) -> DataFrame:
+    """``page_id, class_id, n_pages, n_links``: each page's class of equal looks.
+
+    ``n_links`` counts the pages of the class whose stored text differs from the page's own;
+    copies are not paired. Pages with null or blank text are in no class.
+    """
+    found = classes(pages)
+    variants = found.groupBy("form", "stored").agg(F.count("*").alias("same"))
+    sizes = variants.groupBy("form").agg(F.sum("same").alias("n_pages"))
+    told = variants.join(sizes, "form").select("form", "stored", "n_pages", (F.col("n_pages") - F.col("same")).alias("n_links"))
+    return found.join(told, ["form", "stored"]).select("page_id", F.lower(F.hex("form")).alias("class_id"), "n_pages", "n_links")
 
 
 def same_look(pages: DataFrame) -> DataFrame:
     """``page_id_a, page_id_b``: pages whose differing stored texts look the same throughout.
 
-    Only digests are shuffled, and only classes with more than one stored text are joined
-    with themselves; equal stored texts make no pair.
+    Only digests are shuffled. First the differing texts of one look are paired, then the
+    pages that store them, so the work is that of the pairs that come out; equal stored texts
+    make no pair, however many copies there are.
     """
     found = materialised(classes(pages), "look-classes")
-    mixed = found.groupBy("form").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("form")
-    rows = found.join(mixed, "form", "left_semi")
-    left = rows.select("form", F.col("page_id").alias("page_id_a"), F.col("stored").alias("stored_a"))
-    right = rows.select("form", F.col("page_id").alias("page_id_b"), F.col("stored").alias("stored_b"))
-    return left.join(right, "form").where("page_id_a < page_id_b AND stored_a <> stored_b").select("page_id_a", "page_id_b")
+    variants = found.select("form", "stored").distinct()
+    a = variants.select("form", F.col("stored").alias("stored_a"))
+    b = variants.select("form", F.col("stored").alias("stored_b"))
+    pairs = a.join(b, "form").where("stored_a < stored_b").select("stored_a", "stored_b")
+    first = found.select(F.col("stored").alias("stored_a"), F.col("page_id").alias("x"))
+    second = found.select(F.col("stored").alias("stored_b"), F.col("page_id").alias("y"))
+    met = pairs.join(first, "stored_a").join(second, "stored_b")
+    return met.select(F.least("x", "y").alias("page_id_a"), F.greatest("x", "y").alias("page_id_b"))

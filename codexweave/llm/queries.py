@@ -36,6 +36,10 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.forms(table(spark, sf_dir, "pages")).select("page_id", "form")
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_classes(table(spark, sf_dir, "pages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.wrongly_decoded(table(spark, sf_dir, "pages"))
 
@@ -81,7 +85,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_repaired, p4_found, p4_canonical, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p3_found, p3_repaired, p4_found, p4_canonical, p4_classes, p5_found, p5_restored, p6_found, p6_pieces, p7_ids, p7_decoded, p8_found, p8_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,10 +18,7 @@ from __future__ import annotations
 
 import random
 import re
-import tempfile
 import unicodedata
-import uuid
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,13 +26,12 @@ from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexweave.llm.key_files import KeyFiles, halves, key_files
 from codexweave.llm.lookalikes import TABLE, Translation
-from codexweave.sources.tables import materialised, shared_folder
+from codexweave.sources.tables import materialised
 
 #: Characters easily misread for each other, wrong before right. Fixed values.
 CONFUSED = (
@@ -113,11 +109,6 @@ def clean_lines(lines: list[str]) -> list[str]:
     return [line for line in lines if not garbled(line)] if garbled("\n".join(lines)) else lines
 
 
-def digest(text: str) -> bytes:
-    """A 128-bit digest that is the same in every process."""
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "replace"))
-
-
 class Counts:
     """Exact counts of words and of windows around confusable ideographs, in memory."""
 
@@ -131,49 +122,6 @@ class Counts:
         return self.table[text]
 
 
-class CountFiles:
-    """Exact counts in files by the first byte of the digest, each mapped when first asked."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-        self.files: list[tuple | None] = [None] * 256
-
-    def _file(self, first: int) -> tuple:
-        """High halves, low halves and counts of a file, sorted by digest."""
-        data = _mapped(self.folder, f"{first:02x}")
-        n = len(data) // 3
-        self.files[first] = found = tuple(memoryview(data[k * n : (k + 1) * n]) for k in range(3))
-        return found
-
-    def __getitem__(self, text: str) -> int:
-        key = digest(text)
-        high, low, counts = self.files[key[0]] or self._file(key[0])
-        h, l = int.from_bytes(key[:8]), int.from_bytes(key[8:])
-        at = bisect_left(high, h)
-        while at < len(high) and high[at] == h:
-            if low[at] == l:
-                return counts[at]
-            at += 1
-        return 0
-
-
-def _located(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if re.match(r"\w+:/", folder) else (fs.LocalFileSystem(), folder)
-
-
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """A file's numbers; one of a remote store is mapped from a local copy, one never written is empty."""
-    store, path = _located(folder)
-    info = store.get_file_info(f"{path}/{name}")
-    if info.type == fs.FileType.NotFound:
-        return np.zeros(0, np.uint64)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.asarray(np.memmap(info.path, np.uint64, "r"))
-    with tempfile.NamedTemporaryFile() as copy:
-        fs.copy_files(info.path, copy.name, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-        return np.asarray(np.memmap(copy.name, np.uint64, "r"))
-
-
 def windows(text: str, at: int, char: str) -> tuple[str, ...]:
     """The n-grams around a place with ``char`` put there."""
     l2, l1, r1, r2 = text[max(0, at - 2) : max(0, at - 1)], text[max(0, at - 1) : at], text[at + 1 : at + 2], text[at + 2 : at + 3]
@@ -233,31 +181,9 @@ def expanded(words: Counter, contexts: Counter) -> Counter:
     return out
 
 
-def _writer(folder: str) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _located(folder)
-        parts = [np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(3)]) for batch in batches]
-        rows = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.uint64)
-        rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        firsts, starts = np.unique(rows[0] >> np.uint64(56), return_index=True)
-        for first, part in zip(firsts.tolist(), np.split(rows, starts[1:], axis=1), strict=False):
-            name = f"{path}/{first:02x}"
-            with store.open_output_stream(made := f"{name}-{uuid.uuid4().hex}") as out:  # a repeated task replaces whole files
-                out.write(part.tobytes())
-            store.move(made, name)
-        yield pa.RecordBatch.from_arrays([pa.array([rows.shape[1]], pa.int64())], ["n"])
-
-    return run
-
-
-def corpus_counts(read: DataFrame) -> CountFiles:
+def corpus_counts(read: DataFrame) -> KeyFiles:
     """Exact counts over all pages, from ``read_pages``; no count reaches the driver."""
-    folder = f"{shared_folder(read.sparkSession)}/codexweave/counts-{uuid.uuid4().hex}"
-    store, path = _located(folder)
-    store.create_dir(path)
-    rows = read.where("n IS NOT NULL").groupBy("high", "low").agg(F.sum("n").alias("n"))
-    rows.repartition(F.shiftrightunsigned("high", 56)).mapInArrow(_writer(folder), "n long").agg(F.sum("n")).collect()
-    return CountFiles(folder)
+    return key_files(read.where("n IS NOT NULL").groupBy("high", "low").agg(F.sum("n").alias("n")), "counts")
 
 
 def _told(token: str) -> str:
@@ -697,11 +623,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shown = int(printed) if printed and printed.strip().isdecimal() else None
                 rows += [(page, job, book if name is None else book or job, number, shown, *found, name) for *found, name in edge_lines(lines, book, titles)]
         counts = expanded(words, contexts)
-        halves = np.frombuffer(b"".join(map(digest, counts)), ">u8").astype(np.uint64).view(np.int64)
         columns = list(zip(*rows, strict=True)) or [()] * 9
         told = [pa.array(c, t) for c, t in zip(columns, _FURNITURE_TYPES, strict=True)] + [pa.nulls(len(rows), t) for t in _COUNT_TYPES]
         yield pa.RecordBatch.from_arrays(told, _NAMES)
-        numbers = [pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(list(counts.values()), pa.int64())]
+        numbers = [*halves(counts), pa.array(list(counts.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(counts), t) for t in _FURNITURE_TYPES), *numbers], _NAMES)
 
 
@@ -754,7 +679,7 @@ def noisy_lines(text: str, editor: Editor) -> list[tuple[int, str]]:
 
 def _finder(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor = Editor(CountFiles(model.value[0]), model.value[1])
+        editor = Editor(KeyFiles(model.value[0]), model.value[1])
         for batch in batches:
             rows = [(p, n, k) for p, t in zip(batch.column("page_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for n, k in noisy_lines(t, editor)]
             yield pa.RecordBatch.from_arrays(
@@ -829,7 +754,7 @@ _ENDED = re.compile(r"[.!?。！？”]$")
 
 def _repairer(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor = Editor(CountFiles(model.value[0]), model.value[1])
+        editor = Editor(KeyFiles(model.value[0]), model.value[1])
         for batch in batches:
             texts = [
                 None if t is None else repaired_text(t, {n - 1 for n in d or ()}, editor)
