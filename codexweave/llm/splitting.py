@@ -25,6 +25,8 @@ BOUNDARIES = (
 )
 #: A boundary weaker than the last one counts once this share of the room is used.
 FILL_PERCENT = 50
+#: Distinct limits that are handled; each has an expression of its own.
+MAX_LIMITS = 200
 #: Never parted from what stands before it: combining marks, joiners, variation selectors.
 WHOLE = r"(?![\p{M}\x{200D}\x{FE0E}\x{FE0F}]|(?<=\r)\n)(?<!\x{200D})"
 
@@ -37,9 +39,9 @@ def item_limits(kind: str, items: DataFrame, item_id: Column, job_status: DataFr
     limits are joined to the jobs first, so an item row meets one narrow table only.
     """
     limits = (
-        split_limits.where(F.col("item_kind") == kind)
+        split_limits.where((F.col("item_kind") == kind) & (F.col("max_chars") > 0))
         .groupBy("mode")
-        .agg(F.min(F.struct("max_chars", "overlap_chars")).alias("limit"))
+        .agg(F.min(F.struct("max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))).alias("limit"))
         .select("mode", "limit.max_chars", "limit.overlap_chars")
     )
     jobs = job_value(job_status, "mode").join(F.broadcast(limits), "mode").select("job_key", "max_chars", "overlap_chars")
@@ -54,15 +56,6 @@ def all_items(pages: DataFrame, chunks: DataFrame, job_status: DataFrame, split_
     )
 
 
-def oversized(pages: DataFrame, chunks: DataFrame, job_status: DataFrame, split_limits: DataFrame) -> DataFrame:
-    """``item_kind, item_id`` of items whose text has more code points than their limit.
-
-    Text counts as stored; null text is never too long; repeated rows give one row.
-    """
-    items = all_items(pages, chunks, job_status, split_limits)
-    return items.where(F.length("text") > F.col("max_chars")).select("item_kind", "item_id").distinct()
-
-
 def piece_pattern(room: int) -> str:
     """The alternatives for parts of at most ``room`` characters, strongest boundary first."""
     room = max(1, room)
@@ -72,45 +65,72 @@ def piece_pattern(room: int) -> str:
     return "|".join([rf"{any_char}{{1,{room}}}\z", *ranked, f"{any_char}{{1,{room}}}{WHOLE}", f"{any_char}{{1,{room}}}"])
 
 
+def own_parts(items: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+    """``items`` with ``overlap`` and ``parts``: the matches of the limit's expression, which joined are the text.
+
+    An item within its limit is one part; null and empty texts are left out.
+    """
+    pattern = F.lit(None).cast("string")
+    overlap = F.least(F.greatest(F.col("overlap_chars"), F.lit(0)), F.col("max_chars") - 1)
+    for most, shared in sorted(set(limits)):
+        same = (F.col("max_chars") == most) & (F.col("overlap_chars") == shared)
+        pattern = F.when(same, F.lit(piece_pattern(most - min(max(shared, 0), most - 1)))).otherwise(pattern)
+    parts = F.when(F.length("text") <= F.col("max_chars"), F.array("text")).otherwise(F.regexp_extract_all("text", pattern, F.lit(0)))
+    return items.where(F.length("text") > 0).withColumn("overlap", overlap).withColumn("parts", parts)
+
+
 def pieces(items: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     """``item_kind, item_id, piece_no, start_at, text``: each item as pieces within its limit.
 
     ``items`` as from ``all_items``; ``limits`` are the distinct (max_chars, overlap_chars).
-    A piece after the first begins with the last ``overlap_chars`` characters of the one
+    A piece after the first begins with the last ``overlap_chars`` characters of what comes
     before, which count towards the limit; an overlap that leaves no room is cut to
     ``max_chars - 1``. Without their overlaps the pieces joined are the text. Items within
     their limit come out as one piece, null and empty texts as none. piece_no counts from 1,
     start_at is the piece's offset in code points from 0.
+
+    A piece is made of its own part and the end of the parts before it, never of the whole
+    text, so the characters handled grow with the item's size and no faster.
     """
-    pattern = F.lit(None).cast("string")
-    overlap = F.least(F.greatest(F.col("overlap_chars"), F.lit(0)), F.col("max_chars") - 1)
-    for most, shared in sorted(set(limits)):
-        same = (F.col("max_chars") == most) & (F.col("overlap_chars") == shared)
-        pattern = F.when(same, F.lit(piece_pattern(most - min(max(shared, 0), most - 1)))).otherwise(pattern)
-    parts = F.when(F.length("text") <= F.col("max_chars"), F.array("text")).otherwise(F.regexp_extract_all("text", pattern, F.lit(0)))
-    cut = items.where(F.length("text") > 0).withColumn("overlap", overlap).withColumn("parts", parts)
-    ends = F.aggregate(
-        "parts",
-        F.array(F.lit(0)),
-        lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(part))),
-    )
-    spans = cut.withColumn("ends", ends).select(
-        "item_kind", "item_id", "text", "overlap", "ends", F.posexplode("parts").alias("at", "part")
-    )
-    begins = F.get("ends", F.col("at"))
-    start = F.when(F.col("at") == 0, 0).otherwise(F.greatest(begins - F.col("overlap"), F.lit(0)))
-    stop = F.get("ends", F.col("at") + 1)
-    return spans.select(
-        "item_kind",
-        "item_id",
-        (F.col("at") + 1).alias("piece_no"),
-        start.cast("int").alias("start_at"),
-        F.substring("text", start + 1, stop - start).alias("text"),
-    )
+    cut = own_parts(items, limits)
+    lengths = F.transform("parts", lambda part: F.length(part))
+    ends = F.aggregate("lengths", F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    cut = cut.select("item_kind", "item_id", "overlap", "parts", lengths.alias("lengths")).withColumn("ends", ends)
+
+    def before(i: Column) -> Column:
+        """The characters before part ``i`` that it shares: mostly the end of one part, else of several short ones."""
+        near = F.right(F.get("parts", i - 1), F.col("overlap"))
+        first = F.greatest(i - F.col("overlap"), F.lit(0))
+        far = F.right(F.array_join(F.slice("parts", first + 1, i - first), ""), F.col("overlap"))
+        return F.when((i == 0) | (F.col("overlap") <= 0), "").when(F.get("lengths", i - 1) >= F.col("overlap"), near).otherwise(far)
+
+    texts = F.transform("parts", lambda part, i: F.struct(F.concat(before(i), part).alias("text"), F.get("ends", i).alias("begin")))
+    told = cut.select("item_kind", "item_id", "overlap", F.posexplode(texts).alias("at", "piece"))
+    start = F.when(F.col("at") == 0, 0).otherwise(F.greatest(F.col("piece.begin") - F.col("overlap"), F.lit(0)))
+    return told.select("item_kind", "item_id", (F.col("at") + 1).alias("piece_no"), start.cast("int").alias("start_at"), F.col("piece.text").alias("text"))
+
+
+def known_limits(split_limits: DataFrame) -> list[tuple[int, int]]:
+    """The distinct (max_chars, overlap_chars), for each of which there is an expression."""
+    rules = split_limits.where("max_chars > 0").select("max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars")).distinct()
+    rows = rules.limit(MAX_LIMITS + 1).collect()
+    if len(rows) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits")
+    return [tuple(r) for r in rows]
+
+
+def oversized(pages: DataFrame, chunks: DataFrame, job_status: DataFrame, split_limits: DataFrame) -> DataFrame:
+    """``item_kind, item_id`` of items whose text has more code points than their limit.
+
+    They are those that the splitter cuts into more than one part; the length is checked
+    beside it. Text counts as stored; null text is never too long; repeated rows give one row.
+    """
+    cut = own_parts(all_items(pages, chunks, job_status, split_limits), known_limits(split_limits))
+    long = (F.size("parts") > 1) & (F.length("text") > F.col("max_chars"))
+    return cut.where(long).select("item_kind", "item_id").distinct()
 
 
 def split_items(pages: DataFrame, chunks: DataFrame, job_status: DataFrame, split_limits: DataFrame) -> DataFrame:
     """The pieces of every page and chunk that has a limit; one set per distinct item row."""
-    rules = [(r.max_chars, r.overlap_chars) for r in split_limits.select("max_chars", "overlap_chars").distinct().collect()]
     items = all_items(pages, chunks, job_status, split_limits).distinct()
-    return pieces(items, rules)
+    return pieces(items, known_limits(split_limits))
