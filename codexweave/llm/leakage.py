@@ -36,10 +36,14 @@ class Grain(NamedTuple):
     stretch: int
 
 
-#: Scripts written with ideographs say as much in fewer characters.
-DENSE, SPARSE = Grain(10, 4, 3, 9, 12), Grain(24, 8, 7, 18, 30)
-#: Share of a passage that makes a leak, and of its fingerprints that make a candidate.
-MIN_SHARE, CANDIDATE_SHARE = 0.5, 0.12
+#: Scripts written with ideographs say as much in fewer characters. A passage is searched by the
+#: first grain a quarter of it is long enough for (half of it may stand in two stretches).
+DENSE = (Grain(10, 4, 3, 9, 12), Grain(4, 2, 2, 4, 6), Grain(3, 1, 2, 2, 5))
+SPARSE = (Grain(24, 8, 7, 18, 30), Grain(9, 2, 5, 9, 14), Grain(6, 1, 4, 4, 12))
+#: Passages with fewer letters and digits are found where they stand as a whole.
+WHOLE_DENSE, WHOLE_SPARSE = 8, 16
+#: Share of a passage that makes a leak.
+MIN_SHARE = 0.5
 #: Drift of a diagonal within one stretch, and the share of a stretch that must match.
 DRIFT, DENSITY = 24, 0.82
 #: Characters of passages in one block of test items.
@@ -73,11 +77,9 @@ def is_dense(codes: np.ndarray) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each gram of ``k`` code points, by differences of one running sum."""
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of code points, by differences of one running sum."""
     n = len(codes)
-    if n < k:
-        return np.zeros(0, np.uint64)
     if len(_POWERS.get("up", ())) <= n:
         size = 1 << (n + 1).bit_length()
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -87,12 +89,18 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
             _POWERS[name] = np.cumprod(table, dtype=np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _POWERS["up"][:n], out=sums[1:])
-    hashes = (sums[k:] - sums[:-k]) * _POWERS["down"][: n - k + 1]
+    hashes = (sums[ends] - sums[starts]) * _POWERS["down"][starts]
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     return hashes ^ (hashes >> np.uint64(32))
 
 
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each gram of ``k`` code points."""
+    n = len(codes)
+    return span_hashes(codes, slice(0, n - k + 1), slice(k, n + 1)) if n >= k else np.zeros(0, np.uint64)
+
+
 def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions of the hashes that are least in some window of ``window`` in a row."""
     n = len(hashes)
@@ -107,22 +115,44 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
+def grain_of(codes: np.ndarray) -> Grain | None:
+    """The grain a passage is searched by; None where it is too short for any."""
+    dense = bool(len(codes)) and is_dense(codes).mean() > 0.3
+    if len(codes) < (WHOLE_DENSE if dense else WHOLE_SPARSE):
+        return None
+    grains = DENSE if dense else SPARSE
+    return next((g for g in grains if len(codes) >= 4 * (g.k + g.window - 1)), grains[-1])
+
+
+def needed(size: int, grain: Grain) -> int:
+    """How many of a passage's fingerprints a document must have to be a candidate.
+
+    Half of ``size`` characters, verbatim in two stretches, holds one in each window of either;
+    two thirds of these are asked for, so that changed words may cost the others, and one at least.
+    """
+    held = (size // 2 - 2 * (grain.k + grain.window - 2)) // grain.window
+    return max(1, 2 * held // 3)
+
+
 class Items:
     """The fingerprints of a block of test items, ready to be joined with documents'."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.ids = [r[0] for r in rows]
         self.codes = [plain_codes(r[1]) for r in rows]
-        self.grain = [DENSE if len(c) and is_dense(c).mean() > 0.3 else SPARSE for c in self.codes]
-        self.counts = np.zeros(len(rows), np.int64)
+        self.grain = [grain_of(c) for c in self.codes]
+        self.needed = np.array([needed(len(c), g) if g else 1 for c, g in zip(self.codes, self.grain, strict=True)], np.int64)
         self.tables = {}
-        for grain in (DENSE, SPARSE):
+        self.whole: dict[int, dict[int, list[int]]] = {}
+        for i, codes in enumerate(self.codes):
+            if self.grain[i] is None and len(codes):
+                self.whole.setdefault(len(codes), {}).setdefault(int(gram_hashes(codes, len(codes))[0]), []).append(i)
+        for grain in {g for g in self.grain if g}:
             hashes, item, at = [], [], []
             for i, codes in enumerate(self.codes):
                 if self.grain[i] is grain:
                     all_hashes = gram_hashes(codes, grain.k)
                     kept = winnowed(all_hashes, grain.window)
-                    self.counts[i] = len(kept)
                     hashes.append(all_hashes[kept])
                     item.append(np.full(len(kept), i))
                     at.append(kept)
@@ -133,6 +163,14 @@ class Items:
                 known[h & np.uint64((1 << 20) - 1)] = True
                 self.tables[grain] = (h[order], i[order], a[order], known)
 
+    def whole_in(self, codes: np.ndarray) -> Iterator[int]:
+        """The items too short for fingerprints that stand in a document as a whole."""
+        for size, table in self.whole.items():
+            hashes = gram_hashes(codes, size)
+            known = np.fromiter(table, np.uint64, len(table))
+            for told in np.unique(hashes[np.isin(hashes, known)]).tolist():
+                yield from table[told]
+
     def hits(self, codes: np.ndarray, grain: Grain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, place in the passage, place in the document) of each shared fingerprint."""
         none = np.zeros(0, np.int64)
@@ -184,7 +222,7 @@ def _stretches(passage: np.ndarray, codes: np.ndarray, low: int, high: int, grai
     return out
 
 
-def shared(passage: np.ndarray, codes: np.ndarray, places: np.ndarray, diagonals: np.ndarray, grain: Grain) -> float:
+def shared(passage: np.ndarray, codes: np.ndarray, diagonals: np.ndarray, grain: Grain) -> float:
     """Share of the passage that the document holds in at most two stretches."""
     spans = []
     for rows in _clusters(diagonals):
@@ -198,25 +236,16 @@ def shared(passage: np.ndarray, codes: np.ndarray, places: np.ndarray, diagonals
 
 
 def leaks_in(text: str, items: Items) -> list[tuple[int, float]]:
-    """(item_id, share) of the candidates whose passage a text holds in part."""
+    """(item_id, share) of the items enough of whose fingerprints a text has."""
     codes = plain_codes(text)
-    if len(codes) < DENSE.k:
-        return []
-    dense = int(is_dense(codes).sum())
-    out = []
-    for grain, enough in ((DENSE, dense >= 2 * DENSE.k), (SPARSE, len(codes) - dense >= 2 * SPARSE.k)):
-        if not enough:
-            continue
+    out = [(items.ids[i], 1.0) for i in items.whole_in(codes)] if items.whole else []
+    for grain in items.tables:
         item, at, place = items.hits(codes, grain)
-        if not len(item):
-            continue
-        counts = np.bincount(item, minlength=len(items.ids))
-        for i in np.flatnonzero(counts >= np.maximum(2, CANDIDATE_SHARE * items.counts)):
-            rows = item == i
-            diagonals = (place - at)[rows]
-            distinct = len(np.unique(at[rows]))
-            if distinct >= max(2, CANDIDATE_SHARE * items.counts[i]):
-                out.append((items.ids[i], shared(items.codes[i], codes, at[rows], diagonals, grain)))
+        if len(item):
+            held = np.bincount(np.unique(item.astype(np.int64) << 32 | at) >> 32, minlength=len(items.ids))
+            for i in np.flatnonzero((held > 0) & (held >= items.needed)).tolist():
+                rows = item == i
+                out.append((items.ids[i], shared(items.codes[i], codes, (place - at)[rows], grain)))
     return out
 
 
@@ -236,7 +265,9 @@ def _search(items) -> object:
 def leak_shares(documents: DataFrame, eval_items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, share``: candidates and the share of the passage each holds.
 
-    Items with null or empty passages and documents with null or empty texts have none.
+    A document with as many fingerprints as half of a passage must leave (see ``needed``) is a
+    candidate, so half of a passage, verbatim in two stretches, is always found. Items with null or empty passages and documents with null
+    or empty texts have none.
     Repeated rows of an item or a document give one row.
     """
     spark = documents.sparkSession
