@@ -2,8 +2,9 @@
 
 Words (pre-tokens) are found once per document, numbered within a block of documents, and
 only each block's distinct words are shuffled by word; there every word of the corpus is
-encoded once. Its ids travel back to the blocks that hold it, where documents are put
-together by position. A word that makes up a third of the corpus costs one row per block.
+encoded once, or once per WORD_BLOCKS blocks that hold it, so that no word's rows meet without
+bound in one task. Its ids travel back to the blocks, where documents are put together by
+position. A word that makes up a third of the corpus costs one row per block.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: UTF-8 bytes of text in one block; a longer document is a block by itself.
 BLOCK_BYTES = 2 << 20
+#: Blocks whose rows of one word meet in one task.
+WORD_BLOCKS = 2048
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 BLOCKS = "block long, doc_ids array<long>, lens array<int>, slots binary, words array<string>"
 
@@ -146,13 +149,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path)._core_bpe.encode_single_piece
+        encode = _encoding(path).encode_ordinary  # a word by itself is one word of the pattern
         word, ids = None, []
         for batch in batches:
             out = []
             for value in batch.column("word").to_pylist():
                 if value != word:
-                    word, ids = value, encode(value.encode("utf-8"))
+                    word, ids = value, encode(value)
                 out.append(ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("slot"), pa.array(out, pa.list_(pa.int32()))], ["block", "slot", "ids"]
@@ -191,8 +194,10 @@ def corpus_ids(documents: DataFrame, folder: str | None = None) -> DataFrame:
     path = os.path.join(folder or TOKENIZER_FOLDER, RANKS)
     blocks = materialised(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, BLOCKS), "token-blocks")
     words = blocks.select("block", F.posexplode("words").alias("slot", "word"))
+    groups = -(-blocks.count() // WORD_BLOCKS)  # from the files' footers
+    spread = words.repartition("word") if groups <= 1 else words.repartition("word", F.pmod(F.xxhash64("block"), F.lit(groups)))
     coded = (
-        words.repartition("word")
+        spread
         .sortWithinPartitions("word")
         .mapInArrow(_encode_words(path), "block long, slot int, ids array<int>")
     )
