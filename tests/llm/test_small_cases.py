@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codexweave.llm import corpus_tokens, encodings, leakage, lookalikes, queries, repeated_lines, scan_noise, splitting, text_stats
+from codexweave.llm import corpus_tokens, encodings, key_files, leakage, lookalikes, queries, repeated_lines, scan_noise, splitting, text_stats
 
 T0 = datetime(2025, 1, 1)
 PAGE = "page_id long, job_key string, book string, page_number int, printed_page string, text string, ingested_at timestamp_ntz, source_pdf string, line string, n int"
@@ -91,6 +91,22 @@ def test_pieces_prefer_strong_boundaries(spark):
     assert got[0] == "a" * 30 + "\n\n"
 
 
+def test_pieces_of_a_long_item_and_of_short_parts(spark):
+    schema = "item_kind string, item_id string, text string, max_chars int, overlap_chars int"
+    long = "字句，甲乙。\n" * 60_000
+    marks = "e" + "\u0301" * 40 + "x" * 5
+    items = spark.createDataFrame([("page", "1", long, 400, 40), ("page", "2", marks, 10, 8), ("page", "3", "abc", 400, 40)], schema)
+    made = defaultdict(list)
+    for r in splitting.pieces(items, [(400, 40), (10, 8)]).orderBy("piece_no").collect():
+        made[r.item_id].append(r)
+    for key, text, most, shared in (("1", long, 400, 40), ("2", marks, 10, 8), ("3", "abc", 400, 40)):
+        end = 0
+        for r in made[key]:
+            assert len(r.text) <= most and r.start_at == max(0, end - shared) * (r.piece_no > 1) and text[r.start_at : r.start_at + len(r.text)] == r.text
+            end = r.start_at + len(r.text)
+        assert end == len(text)
+
+
 def _encoder():
     return corpus_tokens._encoding(f"{corpus_tokens.TOKENIZER_FOLDER}/{corpus_tokens.RANKS}")
 
@@ -109,6 +125,15 @@ def test_token_ids_are_the_tokenizers(spark):
     assert corpus_tokens.corpus_ids(df.limit(0)).count() == 0
 
 
+def test_token_ids_do_not_depend_on_the_spread_of_words(spark, monkeypatch):
+    texts = [f"the mill {i} and the kiln\n字{i}" for i in range(300)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(corpus_tokens, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(corpus_tokens, "WORD_BLOCKS", 4)
+    got = {r.doc_id: r.ids for r in corpus_tokens.corpus_ids(df).collect()}
+    assert got == {i: _encoder().encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+
+
 LOOKS = ["The mill stood  here", "Тhe mіll stооd  here", "Ｔｈｅ mill stood  here", "The mi​ll st­ood  here", "The mill stood 2", "The mill stood ²", "the mill stood  here", "用水面", "⽤⽔⾯", "café", "café", "ＡＢ１", "AB1", "①", "1", "АБВГД слово", "ﬆone", "stone", None, "", " ​"]
 
 
@@ -134,12 +159,33 @@ def test_canonical_spelling_keeps_real_words_of_other_scripts(spark):
     assert lookalikes.Trie().matches("x") == []
 
 
-def test_joined_forms_equal_broadcast_ones(spark, monkeypatch):
-    rows = [(i, "j", t) for i, t in enumerate([*LOOKS[:4], "слово слово 字字", "cлoвo", None, ""])]
-    one = {(r.page_id, r.form) for r in lookalikes.forms(pages_of(spark, rows)).collect()}
-    monkeypatch.setattr(lookalikes, "BROADCAST_SPELLINGS", -1)
-    two = {(r.page_id, r.form) for r in lookalikes.forms(pages_of(spark, rows)).collect()}
-    assert {(p, f or "") for p, f in one} == {(p, f or "") for p, f in two}
+def test_forms_are_the_same_with_one_trie_or_many(spark, monkeypatch):
+    rows = [(i, "j", t) for i, t in enumerate([*LOOKS[:4], "слово слово 字字", "cлoвo", None, "", "stood stооd stood mill"])]
+    rows += rows[:3]
+    one = sorted(((r.page_id, r.text, r.form) for r in lookalikes.forms(pages_of(spark, rows)).collect()), key=str)
+    monkeypatch.setattr(lookalikes, "TRIE_ROWS", 1)
+    two = sorted(((r.page_id, r.text, r.form) for r in lookalikes.forms(pages_of(spark, rows)).collect()), key=str)
+    assert one == two and len(one) == len(rows) and (6, None, None) in one and (7, "", "") in one
+
+
+def test_look_classes(spark):
+    rows = [(i, "j", t) for i, t in enumerate(LOOKS)] + [(100, "j", LOOKS[0]), (0, "j", LOOKS[0])]
+    got = {r.page_id: r for r in lookalikes.look_classes(pages_of(spark, rows)).collect()}
+    assert got[0].class_id == got[3].class_id == got[100].class_id != got[4].class_id
+    assert (got[0].n_pages, got[0].n_links, got[1].n_links, got[4].n_links) == (5, 3, 4, 0)
+    pairs = lookalikes.same_look(pages_of(spark, rows)).count()
+    assert sum(r.n_links for r in got.values()) == 2 * pairs
+    assert lookalikes.look_classes(pages_of(spark, [])).count() == 0
+
+
+def test_key_files_hold_texts_and_numbers(spark):
+    words = [f"key {i}" for i in range(3000)]
+    high, low = (h.to_pylist() for h in key_files.halves(words))
+    texts = key_files.key_files(spark.createDataFrame(list(zip(high, low, [w * 2 + "字" for w in words])), "high long, low long, t string"), "test")
+    assert all(texts.text(w) == w * 2 + "字" for w in words) and texts.text("none") is None
+    numbers = key_files.key_files(spark.createDataFrame(list(zip(high, low, range(1, 3001))), "high long, low long, n long"), "test")
+    assert [numbers[w] for w in words] == list(range(1, 3001)) and numbers["none"] == 0
+    assert key_files.key_files(spark.createDataFrame([], "high long, low long, n long"), "test")["none"] == 0
 
 
 CLEAN = ["为什么双桥的高粱比澄岭的更耐用？裁缝渐渐归因于名称与运输。", "Le forgeron répétait que la forêt servait déjà là-bas, malgré ses pièces.", "Für den Zöllner war die schöne Größe „mäßig“ ausreichend.", "The sailor’s ladder — “old” and new."]
@@ -188,6 +234,15 @@ def test_escapes_in_pages_of_other_letters(spark):
     assert all(got[5000 + i].text == CLEAN[0] for i in range(len(escapes)))
 
 
+def test_encodings_that_damaged_pages_themselves_make_common(spark):
+    mac = [corpus_bytes(f"{CLEAN[0]}第{i}号", "gb18030", "mac_roman") * 9 for i in range(12)]
+    lost = ["第{i}号\n" + corpus_bytes("\ufffd" * 60, "utf-8", "gb18030") for i in range(12)]
+    rows = [(i, "j", CLEAN[i % 4]) for i in range(1000)] + [(5000 + i, "j", t) for i, t in enumerate(mac + lost)]
+    got = {r.page_id: r for r in encodings.repaired(pages_of(spark, rows)).collect()}
+    assert {p for p, r in got.items() if r.found} == set(range(5000, 5024))
+    assert got[5003].text == f"{CLEAN[0]}第3号" * 9 and got[5012].lossy and "\ufffd" in got[5012].text and "锟" not in got[5012].text
+
+
 def test_search_walks_what_a_plain_walk_reaches():
     rng = np.random.default_rng(5)
     costs = rng.uniform(4, 26, 0x110000).astype(np.float32)
@@ -233,6 +288,16 @@ def test_leaks_in_two_uneven_stretches(spark):
     assert {tuple(r) for r in leakage.leaks(documents, items).collect()} == {(1, 10), (2, 10)}
 
 
+def test_leaks_of_short_passages(spark):
+    filler = " ".join(f"Word {i} stands alone in {i * 7} places." for i in range(60))
+    short = {20: "Zebra quilts vex a judge.", 21: "Brown foxes jump over lazy dogs at night", 22: "守塔人合用盐卤一处", 23: "Quiz me", 24: "石匠", 25: "!?"}
+    docs = [(i, f"{filler}, {p.upper()}; {filler}") for i, p in short.items()] + [(1, filler), (2, filler + "Brown fox terriers jump"), (3, f"{filler} Brown foxes jump over crazy dogs at night {filler}")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(list(short.items()), "item_id long, passage string")
+    got = {tuple(r) for r in leakage.leaks(documents, items).collect()}
+    assert got == {(i, i) for i in short if i != 25} | {(3, 21)}
+
+
 def test_winnowing_keeps_its_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -262,6 +327,25 @@ def test_structure_of_documents(spark):
     assert stats[6].kind is None and stats[7].n_words == 0 and stats[1].kind == "prose" and 0 < stats[1].ended_line_share <= 1
     assert text_stats.structured(df.limit(0)).count() == 0
     assert text_stats.divergence(np.array([1.0, 0.0]), np.array([0.0, 1.0])) == pytest.approx(1.0)
+    assert stats[1].n_words == 2 * sum("一" <= c <= "鿿" for c in prose) and stats[1].mean_word_length == 1.0
+
+
+def test_class_counts_like_a_plain_count():
+    lines = ["The mill of 1846, and Der Müller!", "据1846年的水闸记载，守塔人。", "", "a b|c", "x" * 50]
+    table = text_stats.class_table(np.zeros(0x110000, np.float32))
+    counts, words, letters = text_stats.class_counts(lines, table)
+    for line, row, n, size in zip(lines, counts, words, letters, strict=True):
+        runs = [w for w in __import__("re").findall(r"[^\W\d_]+", line) if w.isascii() or "ü" in w]
+        zh = [c for c in line if "一" <= c <= "鿿"]
+        known = sum(len(w) for w in runs if w.casefold() in text_stats._WORDS) + sum(c in text_stats.FUNCTION_CHARS for c in zh)
+        assert row.sum() == len(line) and row[0] == known and row[3] == sum(map(str.isdigit, line)) and n == len(runs) + len(zh) and size == sum(map(len, runs)) + len(zh)
+
+
+def test_endless_is_the_repeated_share_where_it_is_high():
+    rng = random.Random(2)
+    for text in ["ab" * 300, "".join(rng.choice("abcdefgh ") for _ in range(2000)), "row 1 | row 2\n" * 80, "x" * 9, "甲乙丙丁" * 5000, "".join(f"{i} " for i in range(9000))]:
+        again = text_stats.repeated_share(text)
+        assert text_stats.endless(text) == (again if again > text_stats.REPEATED else 0.0)
 
 
 def noisy_pages():
