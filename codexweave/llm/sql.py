@@ -24,6 +24,13 @@ items AS (
 """
 
 ORACLES = {
+    "p1_clean": f"""WITH {_SOURCED},
+drops AS (SELECT source_pdf, list(line) AS drop FROM found GROUP BY source_pdf),
+q AS (SELECT DISTINCT ON (page_id) page_id, job_key, text FROM pages WHERE page_id IS NOT NULL),
+k AS (SELECT q.page_id, j.source_pdf, q.text, d.drop, string_split(q.text, chr(10)) AS ls FROM q LEFT JOIN jobs j USING (job_key) LEFT JOIN drops d ON d.source_pdf = j.source_pdf),
+c AS (SELECT *, list_filter(ls, lambda l: NOT list_contains(drop, trim(regexp_replace(l, {_BLANK}, ' ', 'g')))) AS kept FROM k)
+SELECT page_id, source_pdf, CASE WHEN drop IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text, CASE WHEN drop IS NULL OR text IS NULL THEN 0 ELSE len(ls) - len(kept) END::INT AS n_removed FROM c""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p1_found": f"WITH {_SOURCED} SELECT source_pdf, line FROM found",
     "p6_found": f"""WITH {_LIMITED}
 SELECT DISTINCT i.item_kind, i.item_id
