@@ -158,3 +158,84 @@ def safe_name(name: Column) -> Column:
 def base_name(path: Column) -> Column:
     """The last part of a path written either way."""
     return F.element_at(F.split(path, r"[/\\]"), -1)
+
+
+#: Signs a file name cannot hold, and how long a title may be as one. Fixed values.
+FORBIDDEN, TITLE_CHARS = r'[\\/:*?"<>|]', 80
+#: Folder and ending of a book's result. Fixed values.
+RESULT_ENDING = "-rescue-result"
+
+
+def title_file_name(title: Column) -> Column:
+    """A title as a file name: forbidden signs become underscores, blanks one space, at most 80 characters."""
+    return F.substring(stripped(F.regexp_replace(F.regexp_replace(title, FORBIDDEN, "_"), f"{BLANKS}+", " ")), 1, TITLE_CHARS)
+
+
+def plain_component(value: Column, fallback: str) -> Column:
+    """A path component of ASCII letters, digits, dots, hyphens and underscores, or the fallback."""
+    bare = F.regexp_replace(F.regexp_replace(value, r"[^A-Za-z0-9._-]+", "-"), r"^[.-]+|[.-]+$", "")
+    return F.coalesce(F.when(bare != "", bare), F.lit(fallback))
+
+
+def stem(path: Column) -> Column:
+    """The last part of a path without its last suffix."""
+    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def result_folder(path: Column, root: str, output: str) -> Column:
+    """The folder of a book's result, at the same place below ``output`` as the book below ``root``."""
+    parent = F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)
+    below = F.when(parent.startswith(root), F.regexp_replace(F.substring(parent, len(root) + 1, 1_000_000), "^/+", "")).otherwise("")
+    return F.concat_ws("/", F.lit(output.rstrip("/")), F.when(below != "", below), F.concat(safe_name(stem(path)), F.lit(RESULT_ENDING)))
+
+
+#: Words of modes and the resolution they ask for, in order. Fixed values.
+RESOLUTIONS = ((("fast",), 180), (("quality", "forensic", "archival"), 300))
+OTHER_RESOLUTION = 220
+
+
+def resolution(mode: Column) -> Column:
+    """Dots per inch a mode asks for; null for null."""
+    plain = F.replace(F.lower(mode), F.lit("_"), F.lit("-"))
+    out = F.lit(OTHER_RESOLUTION)
+    for words, dpi in reversed(RESOLUTIONS):
+        test = F.lit(False)
+        for word in words:
+            test = test | plain.contains(word)
+        out = F.when(test, dpi).otherwise(out)
+    return F.when(mode.isNotNull(), out)
+
+
+def trimmed_body(text: Column) -> Column:
+    """An entry's text: line ends trimmed, runs of empty lines made one, none at either end."""
+    lines = F.array_join(F.transform(split_lines(text), lambda x: F.regexp_replace(x, f"{BLANKS}+$", "")), "\n")
+    return F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), "^\n+|\n+$", "")
+
+
+#: Words of front matter that no entry's title of under 20 characters holds. Fixed values.
+FRONT_WORDS = ("中国农业百科全书", "编辑出版领导小组", "总编辑委员会", "编辑委员会", "编写组主编", "前言", "凡例", "目录", "索引", "笔画索引", "外文索引", "内容索引", "条目分类目录")
+TITLE_SIGNS = "，。、；：？！《》…—（）【】\""
+#: A title with its foreign form, and titles, exclusions and foreign lines of the older rule. Fixed values.
+ENTRY_LINE = r"^([\x{4E00}-\x{9FFF}][\x{4E00}-\x{9FFF}\w\s]{1,30}?)(?:\(([a-zA-Z][a-zA-Z\s\.,;_\-]+)\))?\s*$"
+OLD_ENTRY_LINE = r"^([\x{4E00}-\x{9FFF}][\x{4E00}-\x{9FFF}A-Za-z0-9·（）()]{1,15})\s*$"
+OLD_EXCLUDED = r"^(?:\d+$|第[一二三四五六七八九十百千]+[章节部卷编]|前言|目录|附录|索引|凡例|版权|书名|彩图)"
+
+
+def entry_title(line: Column) -> Column:
+    """The title a line gives an entry, or null: short, no punctuation around, no number, no front matter."""
+    bare = stripped(line)
+    front = F.lit(False)
+    for word in FRONT_WORDS:
+        front = front | bare.contains(word)
+    signs = f"[{TITLE_SIGNS}]"
+    fit = F.length(bare).between(1, 40) & ~bare.rlike(f"^(?:{signs}|·)") & ~bare.rlike(f"{signs}$") & ~bare.rlike(r"^[\d\s·\-.]+$") & ~bare.rlike("[，。、；：？！]{2,}") & ~(front & (F.length(bare) < 20))
+    title = stripped(F.regexp_extract(bare, f"(?U){ENTRY_LINE}", 1))
+    return F.when(fit & (F.length(title) >= 2), title)
+
+
+def old_entry_title(line: Column, after: Column) -> Column:
+    """The title by the older rule, or null: a compact line that is short or has a foreign one after it."""
+    bare = stripped(line)
+    title = F.regexp_extract(bare, OLD_ENTRY_LINE, 1)
+    foreign = F.coalesce(stripped(after).rlike("^[A-Za-z]"), F.lit(False))
+    return F.when((title != "") & ~bare.rlike(OLD_EXCLUDED) & (foreign | F.length(title).between(2, 8)), title)

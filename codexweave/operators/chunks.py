@@ -12,12 +12,8 @@ ENTRY_HEADING = r"^\s*([\x{4E00}-\x{9FFF}][\x{4E00}-\x{9FFF}·-]{1,23})\s*[（(]
 SENTENCE_GAP = r"\n{2,}|(?<=[。！？!?])\s+"
 
 
-def sections(pages: DataFrame, heading: str = ENTRY_HEADING) -> DataFrame:
-    """``page_id, section_no, title, text``: a page cut before each heading line.
-
-    Lines before the first heading have a null title; blank sections are dropped but keep
-    their number. Folded within the row, so nothing is shuffled.
-    """
+def section_array(pages: DataFrame, heading: str = ENTRY_HEADING) -> DataFrame:
+    """``pages`` with ``parts``: title and text of each section of a page (see ``sections``)."""
     lines = T.split_lines(F.coalesce("text", F.lit("")))
     empty = F.array().cast("array<struct<title:string,text:string>>")
 
@@ -31,8 +27,16 @@ def sections(pages: DataFrame, heading: str = ENTRY_HEADING) -> DataFrame:
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))
         )
 
-    parts = F.aggregate(lines, empty, add)
-    rows = pages.select("page_id", F.posexplode(parts).alias("at", "part"))
+    return pages.withColumn("parts", F.aggregate(lines, empty, add))
+
+
+def sections(pages: DataFrame, heading: str = ENTRY_HEADING) -> DataFrame:
+    """``page_id, section_no, title, text``: a page cut before each heading line.
+
+    Lines before the first heading have a null title; blank sections are dropped but keep
+    their number. Folded within the row, so nothing is shuffled.
+    """
+    rows = section_array(pages, heading).select("page_id", F.posexplode("parts").alias("at", "part"))
     found = rows.select("page_id", (F.col("at") + 1).alias("section_no"), "part.title", T.stripped(F.col("part.text")).alias("text"))
     return found.where("text <> ''")
 
@@ -41,7 +45,8 @@ def packed(text: Column, max_chars: int) -> Column:
     """A text as chunks of at most ``max_chars``: paragraphs packed greedily, long ones by lines.
 
     Paragraphs end at blank lines or after a sentence; chunks join them by blank lines. Lines
-    longer than the limit are cut. A fold with the open chunk as its state.
+    longer than the limit are cut, and each cut piece is a paragraph of its own. A fold with the
+    open chunk as its state.
     """
     def gather(parts: Column, glue: str, slack: int) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -57,9 +62,23 @@ def packed(text: Column, max_chars: int) -> Column:
     def pieces(line: Column) -> Column:
         return F.regexp_extract_all(line, F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0))
 
+    def runs(lines: Column) -> Column:
+        """Lines that fit, packed, and the pieces of those that do not, each a paragraph of its own."""
+        none = F.array().cast("array<string>")
+        start = F.struct(none.alias("done"), F.lit("").alias("open"))
+        flushed = lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+
+        def add(acc: Column, line: Column) -> Column:
+            long = F.length(line) > max_chars
+            fits = F.length(acc["open"]) + F.length(line) + 1 <= max_chars
+            grown = F.when(acc["open"] == "", line).otherwise(F.concat(acc["open"], F.lit("\n"), line))
+            done = F.when(long, F.concat(flushed(acc), pieces(line))).when(fits, acc["done"]).otherwise(flushed(acc))
+            return F.struct(done.alias("done"), F.when(long, F.lit("")).when(fits, grown).otherwise(line).alias("open"))
+
+        return F.aggregate(lines, start, add, flushed)
+
     def by_lines(paragraph: Column) -> Column:
-        lines = F.flatten(F.transform(T.filled_lines(paragraph), pieces))
-        return F.when(F.length(paragraph) <= max_chars, F.array(paragraph)).otherwise(gather(lines, "\n", 1))
+        return F.when(F.length(paragraph) <= max_chars, F.array(paragraph)).otherwise(runs(T.filled_lines(paragraph)))
 
     paragraphs = F.filter(F.transform(F.split(text, SENTENCE_GAP), T.stripped), lambda p: p != "")
     return gather(F.flatten(F.transform(paragraphs, by_lines)), "\n\n", 2)
@@ -67,10 +86,24 @@ def packed(text: Column, max_chars: int) -> Column:
 
 def chunked(pages: DataFrame, max_chars: int = 900) -> DataFrame:
     """``page_id, chunk_no, title, text``: chunks of each page's sections, numbered through the page."""
-    parts = sections(pages).withColumn("chunks", packed(F.col("text"), max_chars))
-    rows = parts.select("page_id", "section_no", "title", F.posexplode("chunks").alias("at", "text"))
-    order = Window.partitionBy("page_id").orderBy("section_no", "at")
-    return rows.select("page_id", F.row_number().over(order).alias("chunk_no"), "title", "text")
+    rows = section_array(pages).select("page_id", F.col("parts").alias("parts"))
+    each = F.transform("parts", lambda p: F.transform(packed(T.stripped(p["text"]), max_chars), lambda c: F.struct(p["title"].alias("title"), c.alias("text"))))
+    return rows.select("page_id", F.posexplode(F.flatten(each)).alias("at", "c")).select("page_id", (F.col("at") + 1).alias("chunk_no"), "c.title", "c.text")
+
+
+def chunk_records(pages: DataFrame, max_chars: int = 900) -> DataFrame:
+    """Chunks as records: ``chunk_id, job_key, book_title, chapter, page_start, page_end, text, confidence, source_page``.
+
+    The id is the job's key, the page in four digits and the chunk in three; a chunk has its
+    page's confidence. Nothing is shuffled but the page's own row.
+    """
+    made = chunked(pages, max_chars)
+    head = pages.select("page_id", "job_key", "book", "page_number", "confidence")
+    rows = made.join(head, "page_id")
+    return rows.select(
+        chunk_id(F.col("job_key"), F.col("page_number"), F.col("chunk_no")).alias("chunk_id"), "job_key", F.col("book").alias("book_title"), F.col("title").alias("chapter"),
+        F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "text", "confidence", F.col("page_number").alias("source_page"),
+    )
 
 
 def chunk_id(stem: Column, page_number: Column, chunk_no: Column) -> Column:
@@ -123,3 +156,20 @@ def signed_entries(pages: DataFrame, title: str = ENTRY_TITLE, signature: str =
         F.max("page_number").alias("last_page"),
         T.stripped(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")).alias("text"),
     )
+
+
+#: Pages before this one are front matter in the older rule. Fixed value.
+BODY_PAGE = 17
+
+
+def entry_starts(pages: DataFrame, old: bool = True) -> DataFrame:
+    """``book, page_number, at, title``: lines that open an entry, by the older rule or the newer.
+
+    The older rule looks at pages from BODY_PAGE on and at the line after; both are tests
+    within a page's row. Re-delivered pages give each line once.
+    """
+    lines = F.transform(T.split_lines(F.coalesce("text", F.lit(""))), T.stripped)
+    title = (lambda x, i: T.old_entry_title(x, F.get(F.col("lines"), i + 1))) if old else (lambda x, i: T.entry_title(x))
+    rows = pages.where("book IS NOT NULL" + (f" AND page_number >= {BODY_PAGE}" if old else "")).select("page_id", "book", "page_number", lines.alias("lines"))
+    found = rows.select("page_id", "book", "page_number", F.posexplode(F.transform("lines", title)).alias("at", "title")).where("title IS NOT NULL")
+    return found.dropDuplicates(["page_id", "at"]).select("book", "page_number", "at", "title")

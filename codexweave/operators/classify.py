@@ -11,12 +11,12 @@ USABLE_CHARS, BROKEN_CHARS, GARBLED, SCANNED_EMPTY = 30, 20, 0.18, 20
 
 
 def page_reports(pages: DataFrame, scanned: Column) -> DataFrame:
-    """``job_key, page_number, text_chars, garble, likely_scanned, usable`` of each page."""
+    """``page_id, job_key, page_number, text_chars, garble, likely_scanned, usable, is_contents`` of each page."""
     text = T.cleaned_layer_text(F.coalesce("text", F.lit("")))
-    rows = pages.select("job_key", "page_number", text.alias("_text"), F.coalesce(scanned, F.lit(False)).alias("likely_scanned"))
+    rows = pages.select("page_id", "job_key", "page_number", text.alias("_text"), F.coalesce(scanned, F.lit(False)).alias("likely_scanned"))
     rows = rows.withColumn("garble", T.garble_score(F.col("_text"))).withColumn("text_chars", F.length("_text"))
     usable = (F.col("text_chars") >= USABLE_CHARS) & (F.col("garble") < GARBLED)
-    return rows.select("job_key", "page_number", "text_chars", "garble", "likely_scanned", usable.alias("usable"), T.contents_like(F.col("_text")).alias("is_contents"))
+    return rows.select("page_id", "job_key", "page_number", "text_chars", "garble", "likely_scanned", usable.alias("usable"), T.contents_like(F.col("_text")).alias("is_contents"))
 
 
 def document_kinds(reports: DataFrame) -> DataFrame:

@@ -48,32 +48,35 @@ def reading_order(blocks: list[tuple[str, list | None]]) -> list[int]:
     if width <= 0:
         return list(range(len(blocks)))
     side = max(SIDE_LINES, round(SIDE_SHARE * len(layout)))
-    ranked = sorted(layout, key=lambda p: p[1][0])
-    best = None
-    for k in range(side, len(ranked) - side + 1):
-        one, two = ranked[:k], ranked[k:]
-        gap = two[0][1][0] - one[-1][1][0]
+    starts = sorted(p[1][0] for p in layout)
+    gaps = []
+    for k in range(side, len(starts) - side):
+        gap, cut = starts[k] - starts[k - 1], (starts[k] + starts[k - 1]) / 2
         if gap < max(90, 0.1 * width):
             continue
-        edge = sorted(p[1][2] for p in one)[min(len(one) - 1, round(0.9 * (len(one) - 1)))]
-        gutter = two[0][1][0] - edge
-        middle = ((edge + two[0][1][0]) / 2 - left) / width
-        high = max(min(p[1][1] for p in one), min(p[1][1] for p in two))
-        low = min(max(p[1][3] for p in one), max(p[1][3] for p in two))
-        tall = min(max(p[1][3] for p in s) - min(p[1][1] for p in s) for s in (one, two))
-        apart = sum(p[1][0] for p in two) / len(two) - sum(p[1][0] for p in one) / len(one)
-        if gutter < max(15, 0.01 * width) or not GUTTER[0] <= middle <= GUTTER[1] or apart < SEPARATION * width or low - high < OVERLAP * max(tall, 1):
-            continue
-        score = (gutter + 0.2 * gap) * min(len(one), len(two)) / max(len(one), len(two))
-        if best is None or score > best[0]:
-            best = (score, two[0][1][0])
-    if best is None:
+        rights = sorted(p[1][2] for p in layout if p[1][0] <= cut)
+        edge = rights[round(0.9 * (len(rights) - 1))]
+        gutter, middle = starts[k] - edge, ((edge + starts[k]) / 2 - left) / width
+        if gutter >= max(15, 0.01 * width) and GUTTER[0] <= middle <= GUTTER[1]:
+            gaps.append(((gutter + 0.2 * gap) * min(k, len(starts) - k) / max(k, len(starts) - k), -k, cut))
+    if not gaps:
+        return list(range(len(blocks)))
+    cut = max(gaps)[2]  # the best gap is chosen first; if it fails there are no columns
+    one, two = [p for p in layout if p[1][0] <= cut], [p for p in layout if p[1][0] > cut]
+    apart = upper_median([p[1][0] for p in two]) - upper_median([p[1][0] for p in one])
+    overlap = min(max(p[1][3] for p in s) for s in (one, two)) - max(min(p[1][1] for p in s) for s in (one, two))
+    tall = min(max(p[1][3] for p in s) - min(p[1][1] for p in s) for s in (one, two))
+    if min(len(one), len(two)) < SIDE_LINES or apart < SEPARATION * width or tall <= 0 or max(0.0, overlap) / tall < OVERLAP:
         return list(range(len(blocks)))
-    order = sorted(placed, key=lambda p: (p[1][0] >= best[1], p[1][1], p[1][0]))
+    order = sorted(placed, key=lambda p: (p[1][0] > cut, p[1][1], p[1][0]))
     seen = {p[0] for p in placed}
     return [p[0] for p in order] + [i for i in range(len(blocks)) if i not in seen]
 
 
+def upper_median(values: list[float]) -> float:
+    return sorted(values)[len(values) // 2]
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -83,6 +86,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string())], ["page_id", "text"])
 
 
+def reorder(columns: list[str]) -> object:
+    """A step over whole page rows: text in reading order where that differs, and whether it does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = [], []
+            for text, blocks in zip(batch.column("text").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+                rows = [((b or {}).get("text") or "", (b or {}).get("bbox")) for b in blocks or []]
+                order = reading_order(rows)
+                changed.append(order != list(range(len(rows))))
+                texts.append("\n".join(rows[i][0] for i in order if rows[i][0].strip()) if changed[-1] else text)
+            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(changed, pa.bool_())], [*columns, "_reordered"])
+
+    return run
+
+
 def ordered_texts(pages: DataFrame) -> DataFrame:
     """``page_id, text``: the text of each page's blocks in reading order; null without blocks."""
     return pages.select("page_id", "blocks").mapInArrow(_texts, "page_id long, text string")

@@ -30,26 +30,52 @@ def latest_status(job_status: DataFrame) -> DataFrame:
 
 def candidates(job_status: DataFrame, quality: DataFrame) -> DataFrame:
     """Each job's last status with ``reason``: why it cannot stand for its source, or null."""
-    totals = quality.groupBy("job_key").agg(F.max("total_pages").alias("quality_total"))
+    totals = quality.groupBy("job_key").agg(F.max("total_pages").alias("quality_total"), _sampled(quality))
     jobs = latest_status(job_status).join(totals, "job_key", "left")
-    total = F.coalesce("total_pages", "quality_total")
+    total = known_total(F.col("total_pages"), F.col("quality_total"))
+    part = F.coalesce(F.nullif(F.col("target_pages"), F.lit(0)) < total, F.lit(False))
+    sample = F.coalesce("is_sample", F.lit(False)) | F.coalesce("quality_sample", F.lit(False)) | part
     reason = (
         F.when(~is_done(F.col("status")), "not done")
-        .when(F.coalesce("is_sample", F.lit(False)), "sample")
+        .when(sample, "sample")
         .when(F.coalesce(F.col("processed_pages") < total, F.lit(False)), "incomplete")
     )
     return jobs.withColumn("reason", reason)
 
 
-def selected_versions(job_status: DataFrame, quality: DataFrame) -> DataFrame:
+def _sampled(quality: DataFrame) -> Column:
+    return (F.max("is_sample") if "is_sample" in quality.columns else F.lit(None).cast("boolean")).alias("quality_sample")
+
+
+def known_total(status_total: Column, quality_total: Column) -> Column:
+    """The number of pages the status tells, else the quality file; 0 tells nothing."""
+    return F.coalesce(F.nullif(status_total, F.lit(0)), F.nullif(quality_total, F.lit(0)))
+
+
+def covers_request(jobs: DataFrame, page_cap: int | None = None) -> Column:
+    """Whether a job of ``candidates`` has done what a request for its source asks.
+
+    With a cap on pages: as many pages as that; else the whole source and no sample.
+    """
+    done = F.coalesce(F.nullif(F.col("processed_pages"), F.lit(0)), F.col("target_pages"), F.lit(0))
+    if page_cap:
+        return is_done(F.col("status")) & (done >= page_cap)
+    total = known_total(F.col("total_pages"), F.col("quality_total"))
+    return is_done(F.col("status")) & ~F.coalesce("is_sample", F.lit(False)) & ~F.coalesce(done < total, F.lit(False))
+
+
+def selected_versions(job_status: DataFrame, quality: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """``job_key, source_pdf, rank, reason``: rank 1 is the version kept of each source.
 
-    The version with most processed, then target pages, then the greatest job_dir wins; jobs
-    without a source stand for themselves. Losers have the reason ``other version kept``.
+    The version with most processed, then target pages, then the largest chunk file (``sizes``
+    has job_key and size), then the greatest job_dir wins; jobs without a source stand for
+    themselves. Losers have the reason ``other version kept``.
     """
     fit = candidates(job_status, quality).where(F.col("reason").isNull())
+    fit = fit.withColumn("size", F.lit(0)) if sizes is None else fit.join(sizes.select("job_key", "size"), "job_key", "left")
     key = F.coalesce("source_pdf", "job_dir")
-    order = Window.partitionBy(key).orderBy(F.desc("processed_pages"), F.desc("target_pages"), F.desc("job_dir"))
+    count = lambda c: F.desc(F.coalesce(c, F.lit(0)))
+    order = Window.partitionBy(key).orderBy(count("processed_pages"), count("target_pages"), count("size"), F.desc("job_dir"), "job_key")
     ranked = fit.withColumn("rank", F.row_number().over(order))
     return ranked.select("job_key", "source_pdf", "job_dir", "rank", F.when(F.col("rank") > 1, "other version kept").alias("reason"))
 
@@ -65,14 +91,19 @@ def first_chunks(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     """``chunk_id, job_key, source_path, source_page, text``: first of equal chunks of kept versions.
 
     Chunks are the same if source path, page and text are; the one of the first job by
-    job_dir, then by chunk_id and time, is kept. Null texts are chunks with no text.
+    job_dir, then by chunk_id and time, is kept. Null texts are chunks with no text. The
+    choice is made on digests; texts meet only the rows that were chosen.
     """
     kept = versions.where("rank = 1").select("job_key", "job_dir")
-    rows = chunks.join(kept, "job_key").withColumn("text", F.coalesce("text", F.lit("")))
-    identity = ["source_path", "source_page", F.sha2("text", 256)]
-    order = Window.partitionBy(*identity).orderBy("job_dir", "chunk_id", "created_at", "page_end")
-    first = rows.withColumn("n", F.row_number().over(order)).where("n = 1")
-    return first.select("chunk_id", "job_key", "source_path", "source_page", "text")
+    text = F.coalesce("text", F.lit(""))
+    place = F.struct("job_dir", "chunk_id", "created_at", "page_end", "job_key")
+    narrow = chunks.select("chunk_id", "job_key", "source_path", "source_page", "created_at", "page_end", F.sha2(text, 256).alias("digest")).join(kept, "job_key")
+    first = narrow.groupBy("source_path", "source_page", "digest").agg(F.min(place).alias("p"))
+    chosen = first.select("p.chunk_id", "p.job_key", F.col("source_path").alias("_path"), F.col("source_page").alias("_page"), "digest")
+    rows = chunks.select("chunk_id", "job_key", "source_path", "source_page", text.alias("text"), F.sha2(text, 256).alias("digest"))
+    same = rows["source_path"].eqNullSafe(F.col("_path")) & rows["source_page"].eqNullSafe(F.col("_page"))
+    met = rows.join(chosen, ["chunk_id", "job_key", "digest"]).where(same)
+    return met.dropDuplicates(["chunk_id", "job_key", "source_path", "source_page", "digest"]).select("chunk_id", "job_key", "source_path", "source_page", "text")
 
 
 def index_totals(chunks: DataFrame, job_status: DataFrame, quality: DataFrame) -> DataFrame:
@@ -87,9 +118,10 @@ def index_totals(chunks: DataFrame, job_status: DataFrame, quality: DataFrame) -
 
 
 def catalogue(job_status: DataFrame, quality: DataFrame) -> DataFrame:
-    """Every source with the best status of its jobs, numbered within its folder by path.
+    """Every source with the best status of its jobs, numbered through the library by path.
 
-    The number restarts in each folder, so the window never gathers the whole library.
+    The number is the place in the folder and the sources of the folders before it, so no
+    window gathers the whole library: the second one is over the folders.
     """
     jobs = latest_status(job_status).where(F.col("source_pdf").isNotNull())
     totals = quality.groupBy("job_key").agg(F.max("total_pages").alias("quality_total"))
@@ -101,8 +133,12 @@ def catalogue(job_status: DataFrame, quality: DataFrame) -> DataFrame:
     )
     folder = F.regexp_extract("source_pdf", r"^(.*)[/\\]", 1)
     order = Window.partitionBy("folder").orderBy("source_pdf")
-    return rows.withColumn("folder", folder).select(
-        "source_pdf", "folder", T.base_name(F.col("source_pdf")).alias("file_name"), F.row_number().over(order).alias("number"), "n_jobs", "done", "processed_pages", "total_pages"
+    rows = rows.withColumn("folder", folder).withColumn("place", F.row_number().over(order))
+    folders = rows.groupBy("folder").agg(F.count("*").alias("n"))
+    before = Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = folders.select("folder", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(offsets, "folder").select(
+        "source_pdf", "folder", T.base_name(F.col("source_pdf")).alias("file_name"), (F.col("base") + F.col("place")).cast("int").alias("number"), "n_jobs", "done", "processed_pages", "total_pages"
     )
 
 

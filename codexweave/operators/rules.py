@@ -13,7 +13,7 @@ def rules_by_title(rules: DataFrame, titles: DataFrame) -> DataFrame:
     """``title, steps``: the replacements that apply to each distinct title, in order.
 
     A rule applies if the title has all of its keywords; one without keywords to every title.
-    Rules with keywords meet only titles that hold their first one.
+    Distinct titles meet all rules (at most MAX_RULES), which are broadcast: a theta join.
     """
     listed = rules.select("rule_order", "name", F.coalesce("title_keywords", F.array().cast("array<string>")).alias("keywords"), "replacements")
     distinct = titles.where(F.col("title").isNotNull()).select("title").distinct()

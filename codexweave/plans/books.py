@@ -88,21 +88,26 @@ def audit_jobs(spark, d):
 
 @_query
 def page_features(spark, d):
-    rows = pages.with_features(pages.distinct_pages(table(spark, d, "pages")).select("page_id", "page_number", "text"))
-    return rows.drop("text", "page_number")
+    rows = pages.with_features(pages.known_pages(table(spark, d, "pages")).select("page_id", "page_number", "text"))
+    return rows.drop("text", "page_number").dropDuplicates(["page_id"])
 
 
 @_query
 def page_quality_warnings(spark, d):
-    rows = pages.distinct_pages(table(spark, d, "pages")).select("page_id", "page_number", "text", "confidence", "source")
+    rows = pages.known_pages(table(spark, d, "pages")).select("page_id", "page_number", "text", "confidence", "source")
     featured = pages.with_features(rows)
-    return featured.select("page_id", F.array_join(pages.quality_warnings(featured), ",").alias("warnings"))
+    return featured.select("page_id", F.array_join(pages.quality_warnings(featured), ",").alias("warnings")).dropDuplicates(["page_id"])
 
 
 @_query
 def pages_prepared(spark, d):
-    rows = pages.prepared(pages.distinct_pages(table(spark, d, "pages")))
-    return rows.select("page_id", "printed_page", "text", "warnings")
+    rows = pages.prepared(pages.distinct_pages(table(spark, d, "pages")), table(spark, d, "replacement_rules"))
+    return rows.select("page_id", "printed_page", "text", "warnings", "notes")
+
+
+@_query
+def audit_quality(spark, d):
+    return audit.quality_audit(table(spark, d, "pages"), table(spark, d, "job_status"), table(spark, d, "replacement_rules"))
 
 
 @_query
@@ -112,13 +117,15 @@ def text_cleanup(spark, d):
 
 @_query
 def garble_scores(spark, d):
-    return pages.distinct_pages(table(spark, d, "pages")).select("page_id", T.garble_score(F.col("text")).alias("garble"))
+    rows = pages.known_pages(table(spark, d, "pages"))
+    return rows.select("page_id", T.garble_score(F.col("text")).alias("garble")).dropDuplicates(["page_id"])
 
 
 @_query
 def document_classification(spark, d):
     scanned = ~F.col("source").isin("pdf_text_layer", "existing_ocr_text_layer")
-    return classify.document_kinds(classify.page_reports(pages.distinct_pages(table(spark, d, "pages")), scanned))
+    told = classify.page_reports(pages.known_pages(table(spark, d, "pages")), scanned)
+    return classify.document_kinds(told.dropDuplicates(["page_id"]))
 
 
 @_query
@@ -160,7 +167,7 @@ def warnings_distinct(spark, d):
 
 @_query
 def confidence_by_source(spark, d):
-    rows = pages.distinct_pages(table(spark, d, "pages"))
+    rows = pages.known_pages(table(spark, d, "pages")).select("page_id", "source", "confidence").dropDuplicates(["page_id"])
     return rows.groupBy("source").agg(
         F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"), F.round(F.percentile("confidence", F.lit(0.05)), 6).alias("p05"), F.round(F.median("confidence"), 6).alias("p50")
     )

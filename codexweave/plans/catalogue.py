@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexweave.plans import books, drift
-from codexweave.plans.books_sql import ORACLES
+from codexweave.plans import books, books_sql, drift, reports, reports_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return books.QUERIES | drift.QUERIES
+    return books.QUERIES | reports.QUERIES | drift.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return books_sql.ORACLES | reports_sql.ORACLES

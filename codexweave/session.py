@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -38,7 +40,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_codexweave_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="codexweave-")) / "codexweave.zip"
+    folder = tempfile.mkdtemp(prefix="codexweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "codexweave.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent).as_posix())

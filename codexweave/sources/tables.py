@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,16 +20,32 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
     Only where the session has none and runs on one machine (tests) a fresh local folder is
-    set; on a cluster without the setting this is an error.
+    used; on a cluster without the setting this is an error.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="codexweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = made = tempfile.mkdtemp(prefix="codexweave-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+#: Local folders made for sessions on one machine that name none, by application; removed at exit.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Removes all intermediate tables of the shared folder; call it when results are written."""
+    jvm, root = spark.sparkContext._jvm, f"{shared_folder(spark)}/codexweave"
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:

@@ -203,11 +203,13 @@ def test_listing_and_writers(spark, tmp_path):
     pages = spark.createDataFrame([("b", 2, "zwei", "x"), ("b", 1, "eins", "x"), ("b", 3, None, "blank_page")], "book string, page_number int, text string, source string")
     sinks.write_book_text(pages, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "book=b").glob("part-*")))
-    assert text.index("eins") < text.index("zwei") < text.index("*blank page*")
+    assert text.index("eins") < text.index("zwei") < text.index(sinks.BLANK_PAGE)
     sinks.write_catalogue_csv(spark.createDataFrame([("p", None)], "path string, n int"), str(tmp_path / "csv"))
     parts = [p.read_text(encoding="utf-8") for p in (tmp_path / "csv").glob("part-*")]
     assert all(p.startswith("﻿path,n\n") for p in parts) and any("p,\n" in p for p in parts)
-    assert records.read_rules(str(tmp_path / "none.yaml")) == []
+    assert records.read_rules(str(tmp_path / "none.yaml")) == ([], None)
+    (tmp_path / "bad.yaml").write_text("rules: [1")
+    assert records.read_rules(str(tmp_path / "bad.yaml"))[0] == [] and records.read_rules(str(tmp_path / "bad.yaml"))[1]
 
 
 def test_pages_of_books(spark):
