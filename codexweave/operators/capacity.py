@@ -159,3 +159,10 @@ def thread_metrics(samples: DataFrame) -> DataFrame:
         F.size(F.filter(used, lambda p: p >= 80)).alias("saturated_threads"),
         F.least(F.lit(100.0), F.aggregate(top, F.lit(0.0), lambda a, p: a + p) / F.col("thread_budget")).alias("budget_use_percent"),
     )
+
+
+def thread_usage(before: DataFrame, after: DataFrame, seconds: float) -> DataFrame:
+    """``pid, thread, cpu_percent`` of the threads seen in both samples (pid, thread, cpu_seconds), 0 to 100."""
+    then = before.select("pid", "thread", F.col("cpu_seconds").alias("_then"))
+    used = (F.col("cpu_seconds") - F.col("_then")) / max(seconds, 0.001) * 100.0
+    return after.join(then, ["pid", "thread"]).select("pid", "thread", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), used)), 3).alias("cpu_percent"))

@@ -131,30 +131,41 @@ def signed_entries(pages: DataFrame, title: str = ENTRY_TITLE, signature: str =
     """``book, entry_no, title, author, first_page, last_page, text``: entries that end with a signature.
 
     Between two signatures the first title line opens the entry; lines before it are left
-    out, and what follows the last signature is an entry without author. Signatures are
-    counted per page first, so the running count of a book is over its pages, not its lines,
-    and only one entry's lines ever meet.
+    out, and what follows the last signature is an entry without author. A page is cut at its
+    signatures within its row; signatures are counted per page, so the running count of a book
+    is over its pages, and an entry is put together from one part a page, never from lines.
     """
-    lines = F.transform(T.split_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(x.alias("line"), x.rlike(signature).alias("ends")))
+    lines = T.split_lines(F.coalesce("text", F.lit("")))
     rows = pages.where("book IS NOT NULL").select("book", "page_number", "page_id", lines.alias("lines"))
-    counted = rows.select("book", "page_number", "page_id", F.size(F.filter("lines", lambda x: x["ends"])).alias("n"))
+    ends = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(signature), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("ends", ends)
     before = Window.partitionBy("book").orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("page_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.select("book", "page_number", "page_id", F.posexplode("lines").alias("at", "x")).select("book", "page_number", "page_id", "at", "x.line", "x.ends")
-    placed = placed.withColumn("inside", F.coalesce(F.sum(F.col("ends").cast("int")).over(inner), F.lit(0))).join(offsets, "page_id")
-    placed = placed.withColumn("entry_no", F.col("base") + F.col("inside"))
-    place = F.struct("page_number", "page_id", "at")
-    opens = F.col("line").rlike(title) & ~F.col("ends")
-    start = F.min(F.when(opens, place)).over(Window.partitionBy("book", "entry_no"))
-    held = placed.withColumn("start", start).where(place >= F.col("start"))
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "page_id", "at", "line")))
-    return held.groupBy("book", "entry_no").agg(
-        F.regexp_extract(F.min_by("line", place), title, 1).alias("title"),
-        F.max(F.when(F.col("ends"), F.regexp_extract("line", signature, 1))).alias("author"),
-        F.min("page_number").alias("first_page"),
-        F.max("page_number").alias("last_page"),
-        T.stripped(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")).alias("text"),
+    counts = rows.select("book", "page_number", "page_id", F.size("ends").alias("n"))
+    offsets = counts.select("page_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+    def part(k: Column) -> Column:
+        """The lines after signature ``k - 1`` up to and with signature ``k``, or the page's end."""
+        begin = F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1)
+        stop = F.coalesce(F.get("ends", k) + 1, F.size("lines"))
+        return F.struct(k.alias("inside"), F.slice("lines", begin + 1, stop - begin).alias("lines"), F.get("ends", k).isNotNull().alias("signed"))
+
+    cut = rows.select("book", "page_number", "page_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("ends")), part)).alias("p"))
+    opens = F.array_position(F.transform("p.lines", lambda x: x.rlike(title) & ~x.rlike(signature)), True)
+    parts = cut.where(F.size("p.lines") > 0).join(offsets, "page_id").select(
+        "book", (F.col("base") + F.col("p.inside")).alias("entry_no"), "page_number", "page_id", opens.cast("int").alias("opens"), F.col("p.lines").alias("lines"),
+        F.when(F.col("p.signed"), F.regexp_extract(F.element_at("p.lines", -1), signature, 1)).alias("author"),
+    )
+    whole = F.array_join("lines", "\n")
+    opened = F.when(F.col("opens") > 0, F.array_join(F.slice("lines", F.col("opens"), F.size("lines")), "\n"))
+    named = F.when(F.col("opens") > 0, F.regexp_extract(F.get("lines", F.col("opens") - 1), title, 1))
+    held = parts.select("book", "entry_no", F.struct("page_number", "page_id", opened.alias("opened"), whole.alias("whole"), named.alias("title"), "author").alias("x"))
+    entries = held.groupBy("book", "entry_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    first = F.array_position(F.transform("xs", lambda x: x["opened"].isNotNull()), True)
+    entries = entries.withColumn("first", first.cast("int")).where("first > 0")
+    entries = entries.withColumn("xs", F.slice("xs", F.col("first"), F.size("xs")))
+    return entries.select(
+        "book", "entry_no", F.get("xs", F.lit(0))["title"].alias("title"), F.element_at("xs", -1)["author"].alias("author"), F.get("xs", F.lit(0))["page_number"].alias("first_page"),
+        F.element_at("xs", -1)["page_number"].alias("last_page"), T.stripped(F.array_join(F.transform("xs", lambda x, i: F.when(i == 0, x["opened"]).otherwise(x["whole"])), "\n")).alias("text"),
     )
 
 

@@ -92,3 +92,37 @@ def book_states(books: DataFrame, active: DataFrame, completed: DataFrame, faile
         rows = rows.join(told.select(key).distinct().withColumn(f"_{name}", F.lit(True)), key, "left")
     state = F.when(F.col("_active"), "active").when(F.col("_completed"), "completed").when(F.col("_failed"), "failed").otherwise("pending")
     return rows.withColumn("state", state).drop("_active", "_completed", "_failed")
+
+
+#: Seconds without a heartbeat, of start-up, without progress and without a first page. Fixed values.
+DEAD, GRACE, STUCK, NO_FIRST_PAGE = 90, 120, 600, 600
+
+
+def liveness_states(beats: DataFrame, key: str, now: Column) -> DataFrame:
+    """``key, state``: workers at ``now``, from heartbeats with the key, ts and pages done.
+
+    ``starting`` within the grace after the first beat; ``dead`` without a beat for 90 s;
+    ``no first page`` and ``stuck`` after 600 s without progress; else ``alive``.
+    """
+    done = beats.groupBy(key).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("pages").alias("pages"))
+    since = beats.join(done.select(key, F.col("pages").alias("most")), key).where(F.col("pages") == F.col("most")).groupBy(key).agg(F.min("ts").alias("progress"))
+    age = lambda c: F.timestamp_diff("SECOND", F.col(c), now)
+    none = F.coalesce(F.col("pages"), F.lit(0)) == 0
+    state = (
+        F.when((age("last") >= DEAD) & (age("first") >= GRACE), "dead").when(age("first") < GRACE, "starting").when(none & (age("first") >= NO_FIRST_PAGE), "no first page")
+        .when(~none & (age("progress") >= STUCK), "stuck").otherwise("alive")
+    )
+    return done.join(since, key, "left").select(key, state.alias("state"))
+
+
+def idempotency_key(columns: list[str]) -> Column:
+    """A digest of a request's named values in one canonical form: names in order, nulls as such."""
+    parts = [F.concat(F.lit(f'"{c}":'), F.coalesce(F.to_json(F.array(F.col(c))), F.lit("null"))) for c in sorted(columns)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+
+
+def new_requests(requests: DataFrame, known: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """The first of equal ``requests`` by ``order``, with ``request_key``, that ``known`` keys do not hold yet."""
+    keyed = requests.withColumn("request_key", idempotency_key(columns))
+    first = keyed.groupBy("request_key").agg(F.min_by(F.struct(*requests.columns), F.struct(*order)).alias("r"))
+    return first.join(known.select("request_key"), "request_key", "left_anti").select("request_key", "r.*")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexweave.functions import front_matter as FM
+from codexweave.functions import numbers as N
 from codexweave.functions import text as T
 from codexweave.operators import audit, capacity, chunks, evidence, history, library, pages, reports, tasks
 from codexweave.plans.books import NOW
@@ -291,3 +292,35 @@ def lease_tokens(spark, d):
 @_query
 def chunk_records(spark, d):
     return chunks.chunk_records(pages.distinct_pages(table(spark, d, "pages")))
+
+
+@_query
+def worker_liveness(spark, d):
+    """Workers by user: each event is a heartbeat, the number of views so far the pages done."""
+    seen = F.count_if(F.col("event_type") == "view").over(Window.partitionBy("user_id").orderBy("event_id"))
+    beats = _events(spark, d).select("user_id", "ts", seen.alias("pages"))
+    return tasks.liveness_states(beats, "user_id", F.lit("2024-01-30 23:00:00").cast("timestamp_ntz"))
+
+
+@_query
+def new_requests(spark, d):
+    """Requests for a source in a mode, each once, but for those that a done job has answered."""
+    rows = table(spark, d, "job_status").select("snapshot_id", "source_pdf", "mode", "status")
+    asked = ["source_pdf", "mode"]
+    known = rows.where(reports.state_label(F.col("status")) == "done").select(tasks.idempotency_key(asked).alias("request_key")).distinct()
+    return tasks.new_requests(rows.select("snapshot_id", *asked), known, asked, ["snapshot_id"])
+
+
+@_query
+def thread_usage(spark, d):
+    loads = table(spark, d, "events").select(F.col("user_id").alias("pid"), F.col("event_type").alias("thread"), "value")
+    of = lambda f: loads.groupBy("pid", "thread").agg(f("value").alias("cpu_seconds"))
+    return capacity.thread_usage(of(F.min), of(F.max), 60.0)
+
+
+@_query
+def sanitised_numbers(spark, d):
+    """Values of events' properties and of chunk identifiers' ends as numbers, bounded ones among them."""
+    text = F.regexp_extract("chunk_id", r"([^-]*)-[^-]*$", 1)
+    rows = table(spark, d, "chunks").select("chunk_id", text.alias("part"), F.regexp_extract("chunk_id", r"(\d+)$", 1).alias("digits")).distinct()
+    return rows.select("chunk_id", N.finite(F.col("part")).alias("finite"), N.nonnegative_integer(F.col("digits")).alias("whole"), N.bounded(F.col("digits"), 2, 5).alias("bounded"))

@@ -121,6 +121,9 @@ r1 AS (SELECT *, list_filter([CASE WHEN coalesce(ppm, 0) <= 0 THEN '未取得有
 b AS (SELECT arg_max({'rate': ppm, 'low': low}, ppm) AS b FROM r1 WHERE workers = 1 AND len(rs) = 0),
 r2 AS (SELECT r1.*, b.b AS base, CASE WHEN len(rs) = 0 AND low > b.b.low + 0.03 THEN list_append(rs, '低置信页比例相对单 worker 基线回退') ELSE rs END AS reasons FROM r1, b)"""
 
+_SIGNATURE = r"^\s*[（(]([\x{4E00}-\x{9FFF}·]{2,6})[）)]\s*$"
+_TITLE = r"^\s*([\x{4E00}-\x{9FFF}][\x{4E00}-\x{9FFF}\w ]{1,30}?)(?:\(([a-zA-Z][a-zA-Z ._;,\-]+)\))?\s*$"
+
 _EV = "ev AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract(props, '$.k') AS INT) AS page FROM events)"
 _QUEUE = f"""{_EV}, q AS (SELECT user_id, min(ts) AS created_at FROM ev WHERE event_type = 'signup' GROUP BY user_id),
 l AS (SELECT user_id, max(ts) + INTERVAL 10 DAYS AS expires_at FROM ev WHERE event_type = 'purchase' GROUP BY user_id),
@@ -290,4 +293,28 @@ i AS (SELECT job_key, page_number, unnest(list_filter([
   CASE WHEN NOT coalesce(source = 'blank_page', false) AND coalesce(confidence, 0) < 0.9 AND NOT is_dense_index THEN 'low_confidence' END, CASE WHEN NOT coalesce(source = 'blank_page', false) AND text_chars = 0 THEN 'no_text' END,
   CASE WHEN is_diagram AND n_noise_lines >= 2 THEN 'diagram_noise' END, CASE WHEN is_illustration THEN 'illustration' END], lambda x: x IS NOT NULL)) AS problem FROM f)
 SELECT job_key || '|' || problem AS key, array_to_string(list_sort(list(DISTINCT page_number))[1:20], ',') AS page_numbers FROM i GROUP BY job_key, problem""",
+    "worker_liveness": """WITH b AS (SELECT user_id, ts, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id ORDER BY event_id) AS pages FROM events),
+g AS (SELECT user_id, min(ts) AS f, max(ts) AS l, max(pages) AS m FROM b GROUP BY user_id), p AS (SELECT b.user_id, min(ts) AS s FROM b JOIN g ON g.user_id = b.user_id AND b.pages = g.m GROUP BY b.user_id),
+a AS (SELECT user_id, m, epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch(f) AS f, epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch(l) AS l, epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch(s) AS s FROM g JOIN p USING (user_id))
+SELECT user_id, CASE WHEN trunc(l) >= 90 AND trunc(f) >= 120 THEN 'dead' WHEN trunc(f) < 120 THEN 'starting' WHEN m = 0 AND trunc(f) >= 600 THEN 'no first page' WHEN m > 0 AND trunc(s) >= 600 THEN 'stuck' ELSE 'alive' END AS state FROM a""",
+    "new_requests": f"""WITH r AS (SELECT snapshot_id, source_pdf, mode, {label('status')} AS l, sha256('{{"mode":[' || coalesce('"' || mode || '"', 'null') || '],"source_pdf":[' || coalesce('"' || source_pdf || '"', 'null') || ']}}') AS request_key FROM job_status)
+SELECT request_key, min(snapshot_id) AS snapshot_id, arg_min(source_pdf, snapshot_id) AS source_pdf, arg_min(mode, snapshot_id) AS mode FROM r WHERE request_key NOT IN (SELECT request_key FROM r WHERE l = 'done') GROUP BY request_key""",
+    "thread_usage": "SELECT user_id AS pid, event_type AS thread, round(least(100.0, greatest(0.0, (max(value) - min(value)) / 60.0 * 100.0)), 3) AS cpu_percent FROM events GROUP BY user_id, event_type",
+    "sanitised_numbers": """WITH r AS (SELECT DISTINCT chunk_id, regexp_extract(chunk_id, '([^-]*)-[^-]*$', 1) AS part, regexp_extract(chunk_id, '(\\d+)$', 1) AS digits FROM chunks)
+SELECT chunk_id, TRY_CAST(part AS DOUBLE) AS finite, TRY_CAST(digits AS BIGINT) AS whole, least(greatest(TRY_CAST(digits AS DOUBLE), 2.0), 5.0) AS bounded FROM r""",
+    "signed_entries": f"""WITH {PAGES},
+l AS (SELECT book, page_number, page_id, regexp_split_to_array(coalesce(text, ''), '{LINE_END}') AS ls FROM p WHERE book IS NOT NULL),
+x AS (SELECT book, page_number, page_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM l),
+y AS (SELECT *, regexp_matches(line, '{_SIGNATURE}') AS ends, regexp_matches(line, '{_TITLE}') AND NOT regexp_matches(line, '{_SIGNATURE}') AS opens FROM x),
+z AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY book ORDER BY page_number, page_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS entry_no FROM y),
+w AS (SELECT *, min((page_number, page_id, i)) FILTER (opens) OVER (PARTITION BY book, entry_no) AS start FROM z),
+h AS (SELECT * FROM w WHERE (page_number, page_id, i) >= start)
+SELECT book, entry_no, regexp_extract(arg_min(line, (page_number, page_id, i)), '{_TITLE}', 1) AS title, max(CASE WHEN ends THEN regexp_extract(line, '{_SIGNATURE}', 1) END) AS author,
+  min(page_number) AS first_page, max(page_number) AS last_page, {strip("string_agg(line, chr(10) ORDER BY page_number, page_id, i)")} AS text FROM h GROUP BY book, entry_no""",
+    "entry_titles": f"""WITH {PAGES},
+l AS (SELECT page_id, book, page_number, list_transform(regexp_split_to_array(coalesce(text, ''), '{LINE_END}'), lambda l: {strip('l')}) AS ls FROM p WHERE book IS NOT NULL),
+x AS (SELECT book, page_number, unnest(range(0, len(ls)))::INT AS "at", unnest(ls) AS line FROM l),
+m AS (SELECT *, {strip("regexp_extract(line, '^([\\x{4E00}-\\x{9FFF}][\\x{4E00}-\\x{9FFF}\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s\\p{Z}]{1,30}?)(?:\\(([a-zA-Z][a-zA-Z\\s\\.,;_\\-]+)\\))?[\\s\\p{Z}]*$', 1)")} AS title FROM x WHERE length(line) BETWEEN 1 AND 40)
+SELECT book, page_number, "at", title FROM m WHERE length(title) >= 2 AND NOT regexp_matches(line, '^[，。、；：？！《》…—（）【】"·]') AND NOT regexp_matches(line, '[，。、；：？！《》…—（）【】"]$') AND NOT regexp_matches(line, '^[\\d\\s·\\-.]+$')
+  AND NOT regexp_matches(line, '[，。、；：？！]{{2,}}') AND NOT (length(line) < 20 AND regexp_matches(line, '中国农业百科全书|编辑出版领导小组|总编辑委员会|编辑委员会|编写组主编|前言|凡例|目录|索引'))""",
 }

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from codexweave.functions import numbers as N
 from codexweave.functions import text as T
 from codexweave.operators import audit, capacity, chunks, evidence, history, layout, library, pages, reports, tasks
 from codexweave.sources import records, sinks, tables
@@ -88,6 +89,34 @@ def test_queue_and_leases(spark):
     assert got == [(1, True, 1), (2, False, 1), (3, True, 2), (4, False, 2), (9, True, 1)]
 
 
+def test_liveness_states(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    beats = [("dead", at(0), 1), ("new", at(950), 0), ("none", at(0), 0), ("none", at(995), None), ("stuck", at(0), 0), ("stuck", at(100), 4), ("stuck", at(990), 4), ("ok", at(0), 1), ("ok", at(900), 9), ("ok", at(960), 9)]
+    df = spark.createDataFrame(beats, "w string, ts timestamp_ntz, pages int")
+    got = {r.w: r.state for r in tasks.liveness_states(df, "w", F.lit(str(at(1000))).cast("timestamp_ntz")).collect()}
+    assert got == {"dead": "dead", "new": "starting", "none": "no first page", "stuck": "stuck", "ok": "alive"}
+    assert tasks.liveness_states(df.limit(0), "w", F.lit(str(at(0))).cast("timestamp_ntz")).count() == 0
+
+
+def test_requests_are_taken_once(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", "null"), (4, "b", 'x"y'), (5, None, "a")], "n int, s string, m string")
+    fresh = tasks.new_requests(df, spark.createDataFrame([], "request_key string"), ["s", "m"], ["n"])
+    assert sorted(r.n for r in fresh.collect()) == [1, 3, 4, 5]
+    assert sorted(r.n for r in tasks.new_requests(df, fresh.where("n = 1"), ["m", "s"], ["n"]).collect()) == [3, 4, 5]
+
+
+def test_numbers(spark):
+    texts = ["3", "3.0", "3.5", "-1", "nan", "inf", "true", "", None, " 7 "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.finite(F.col("t")), N.nonnegative_integer(F.col("t")), N.bounded(F.col("t"), 0, 5)).collect()
+    assert [tuple(r) for r in got] == [(3.0, 3, 3.0), (3.0, 3, 3.0), (3.5, None, 3.5), (-1.0, None, 0.0), *[(None, None, None)] * 5, (7.0, 7, 5.0)]
+
+
+def test_thread_usage(spark):
+    schema = "pid int, thread int, cpu_seconds double"
+    before, after = spark.createDataFrame([(1, 1, 1.0), (1, 2, 5.0), (1, 3, 0.0)], schema), spark.createDataFrame([(1, 1, 1.5), (1, 2, 4.0), (1, 4, 9.0), (1, 3, 9.0)], schema)
+    assert {r.thread: r.cpu_percent for r in capacity.thread_usage(before, after, 1.0).collect()} == {1: 50.0, 2: 0.0, 3: 100.0}
+
+
 def test_book_states_by_precedence(spark):
     of = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
     got = {r.k: r.state for r in tasks.book_states(of("a", "b", "c", "d"), of("a", "a"), of("a", "b"), of("a", "b", "c"), "k").collect()}
