@@ -13,21 +13,21 @@ SENTENCE_GAP = r"\n{2,}|(?<=[。！？!?])\s+"
 
 
 def section_array(pages: DataFrame, heading: str = ENTRY_HEADING) -> DataFrame:
-    """``pages`` with ``parts``: title and text of each section of a page (see ``sections``)."""
-    lines = T.split_lines(F.coalesce("text", F.lit("")))
-    empty = F.array().cast("array<struct<title:string,text:string>>")
-
-    def add(acc: Column, line: Column) -> Column:
-        opens = line.rlike(heading)
-        title = F.regexp_extract(line, heading, 1)
-        last = F.element_at(acc, -1)
-        more = F.struct(last["title"].alias("title"), F.concat(last["text"], F.lit("\n"), line).alias("text"))
-        fresh = F.struct(F.when(opens, title).alias("title"), line.alias("text"))
-        return F.when((F.size(acc) == 0) | opens, F.concat(acc, F.array(fresh))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))
-        )
-
-    return pages.withColumn("parts", F.aggregate(lines, empty, add))
+    """``pages`` with ``parts``: title and text of each section of a page (see ``sections``).
+
+    The places of the headings are found once and each section is sliced out between two.
+    """
+    rows = pages.withColumn("_lines", T.split_lines(F.coalesce("text", F.lit(""))))
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(heading), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_heads", heads)
+    rows = rows.withColumn("_starts", F.when(F.get("_heads", F.lit(0)) == 0, F.col("_heads")).otherwise(F.concat(F.array(F.lit(0)), F.col("_heads"))))
+
+    def part(start: Column, k: Column) -> Column:
+        first = F.get("_lines", start)
+        stop = F.coalesce(F.get("_starts", k + 1), F.size("_lines"))
+        return F.struct(F.when(first.rlike(heading), F.regexp_extract(first, heading, 1)).alias("title"), F.array_join(F.slice("_lines", start + 1, stop - start), "\n").alias("text"))
+
+    return rows.withColumn("parts", F.transform("_starts", part)).drop("_lines", "_heads", "_starts")
 
 
 def sections(pages: DataFrame, heading: str = ENTRY_HEADING) -> DataFrame:

@@ -154,19 +154,17 @@ def pages_of_books(books: DataFrame, heading: str = PAGE_HEADING) -> DataFrame:
     """``book, page_number, text`` of merged books, one row per book with its whole ``text``.
 
     A page goes from its heading to the next; of headings with one number the last holds.
-    Text before the first heading is left out. Cut within the row, then one row per page.
+    Text before the first heading is left out. The places of the headings are found once and
+    each page is sliced out between two, within the row; then there is one row per page.
     """
-    lines = F.split("text", r"\r\n|\n|\r")
-    empty = F.array().cast("array<struct<n:int,text:string>>")
-
-    def add(acc: Column, line: Column) -> Column:
-        opens = line.rlike(heading)
-        fresh = F.struct(F.regexp_extract(line, heading, 1).try_cast("int").alias("n"), F.lit("").alias("text"))
-        last = F.element_at(acc, -1)
-        more = F.struct(last["n"].alias("n"), F.concat(last["text"], line, F.lit("\n")).alias("text"))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more))
-        return F.when(opens, F.concat(acc, F.array(fresh))).when(F.size(acc) == 0, acc).otherwise(grown)
-
-    parts = books.select("book", F.posexplode(F.aggregate(F.coalesce(lines, F.array().cast("array<string>")), empty, add)).alias("at", "page"))
+    rows = books.select("book", F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r").alias("lines"))
+    rows = rows.withColumn("heads", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(heading), i)), lambda i: i.isNotNull()))
+
+    def page(start: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("heads", k + 1), F.size("lines"))
+        number = F.regexp_extract(F.get("lines", start), heading, 1).try_cast("int")
+        return F.struct(number.alias("n"), F.array_join(F.slice("lines", start + 2, stop - start - 1), "\n").alias("text"))
+
+    parts = rows.select("book", F.posexplode(F.transform("heads", page)).alias("at", "page"))
     last = parts.groupBy("book", F.col("page.n").alias("page_number")).agg(F.max_by(F.col("page.text"), F.col("at")).alias("text"))
     return last.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
