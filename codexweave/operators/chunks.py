@@ -122,6 +122,20 @@ def entry_ranges(starts: DataFrame, last_pages: DataFrame) -> DataFrame:
     return rows.select("book", "title", "first_page", F.coalesce("last_page", "max_page").alias("last_page"))
 
 
+def entry_texts(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+    """``book, title, first_page, last_page, n_pages, n_chars, text``: entries of whole pages, in order.
+
+    ``ranges`` as from ``entry_ranges``; pages have book, page_number and text, one row each.
+    Ranges are spread out to their pages and joined by book and page; empty ranges and pages
+    that were not read give nothing.
+    """
+    spread = ranges.where("last_page >= first_page").select("book", "title", "first_page", "last_page", F.explode(F.sequence("first_page", "last_page")).alias("page_number"))
+    met = spread.join(pages.select("book", "page_number", F.coalesce("text", F.lit("")).alias("text")), ["book", "page_number"])
+    rows = met.groupBy("book", "title", "first_page", "last_page").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
+    return rows.select("book", "title", "first_page", "last_page", F.size("p").alias("n_pages"), F.length(text).alias("n_chars"), text.alias("text"))
+
+
 #: A line with only a signature, which closes an entry, and a line that may open one. Fixed values.
 SIGNATURE = r"^\s*[（(]([\x{4E00}-\x{9FFF}·]{2,6})[）)]\s*$"
 ENTRY_TITLE = r"^\s*([\x{4E00}-\x{9FFF}][\x{4E00}-\x{9FFF}\w ]{1,30}?)(?:\(([a-zA-Z][a-zA-Z ._;,\-]+)\))?\s*$"

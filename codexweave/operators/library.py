@@ -147,3 +147,13 @@ def catalogue_counts(catalogued: DataFrame) -> DataFrame:
     return catalogued.groupBy("folder").agg(
         F.count("*").alias("n_sources"), F.sum("done").alias("n_done"), F.count_if(F.col("total_pages").isNull()).alias("n_unknown_length")
     )
+
+
+def library_scan(catalogued: DataFrame, kinds: DataFrame, job_status: DataFrame) -> DataFrame:
+    """The catalogue with ``kind`` and ``text_ratio`` of each source: those of its job with most pages; null without any.
+
+    ``kinds`` as from ``classify.document_kinds``. A source whose jobs have no pages stays.
+    """
+    sources = latest_status(job_status).where("source_pdf IS NOT NULL").select("job_key", "source_pdf")
+    best = kinds.join(sources, "job_key").groupBy("source_pdf").agg(F.max_by(F.struct("kind", "text_ratio"), F.struct("n_pages", "job_key")).alias("k"))
+    return catalogued.join(best, "source_pdf", "left").select(*catalogued.columns, "k.kind", "k.text_ratio")

@@ -11,6 +11,7 @@ from codexweave.functions import front_matter as FM
 from codexweave.functions import numbers as N
 from codexweave.functions import text as T
 from codexweave.operators import audit, capacity, chunks, evidence, history, library, pages, reports, tasks
+from codexweave.plans import books
 from codexweave.plans.books import NOW
 from codexweave.sources.tables import table
 
@@ -324,3 +325,16 @@ def sanitised_numbers(spark, d):
     text = F.regexp_extract("chunk_id", r"([^-]*)-[^-]*$", 1)
     rows = table(spark, d, "chunks").select("chunk_id", text.alias("part"), F.regexp_extract("chunk_id", r"(\d+)$", 1).alias("digits")).distinct()
     return rows.select("chunk_id", N.finite(F.col("part")).alias("finite"), N.nonnegative_integer(F.col("digits")).alias("whole"), N.bounded(F.col("digits"), 2, 5).alias("bounded"))
+
+
+@_query
+def entry_texts(spark, d):
+    """Entries between chapter headings, of the last reading of each page of a book."""
+    rows = pages.distinct_pages(table(spark, d, "pages")).where("book IS NOT NULL AND page_number IS NOT NULL")
+    last = rows.groupBy("book", "page_number").agg(F.max_by("text", "page_id").alias("text"))
+    return chunks.entry_texts(books.entry_ranges(spark, d), last).select("book", "title", "first_page", "last_page", "n_pages", "n_chars")
+
+
+@_query
+def library_scan(spark, d):
+    return library.library_scan(books.catalog_status_left_join(spark, d), books.document_classification(spark, d), table(spark, d, "job_status"))

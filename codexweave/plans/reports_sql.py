@@ -1,5 +1,6 @@
 """DuckDB counterparts of the queries in ``reports`` and of those in ``books`` that need more than one line."""
 
+from codexweave.plans.books_sql import ORACLES as BOOKS
 from codexweave.plans.books_sql import BLANKS, FEATURES, LATEST, LINE_END, PAGES, filled, strip
 
 _NOW = "TIMESTAMP '2025-12-31 00:00:00'"
@@ -318,3 +319,11 @@ m AS (SELECT *, {strip("regexp_extract(line, '^([\\x{4E00}-\\x{9FFF}][\\x{4E00}-
 SELECT book, page_number, "at", title FROM m WHERE length(title) >= 2 AND NOT regexp_matches(line, '^[，。、；：？！《》…—（）【】"·]') AND NOT regexp_matches(line, '[，。、；：？！《》…—（）【】"]$') AND NOT regexp_matches(line, '^[\\d\\s·\\-.]+$')
   AND NOT regexp_matches(line, '[，。、；：？！]{{2,}}') AND NOT (length(line) < 20 AND regexp_matches(line, '中国农业百科全书|编辑出版领导小组|总编辑委员会|编辑委员会|编写组主编|前言|凡例|目录|索引'))""",
 }
+
+ORACLES["entry_texts"] = f"""WITH {PAGES}, r AS ({BOOKS["entry_ranges"]}),
+l AS (SELECT book, page_number, arg_max(coalesce(text, chr(0)), page_id) AS text FROM p WHERE book IS NOT NULL AND page_number IS NOT NULL GROUP BY book, page_number)
+SELECT r.book, title, first_page, last_page, count(*)::INT AS n_pages, (sum(CASE WHEN text = chr(0) THEN 0 ELSE length(text) END) + 2 * (count(*) - 1))::INT AS n_chars
+FROM r JOIN l ON l.book = r.book AND l.page_number BETWEEN first_page AND last_page GROUP BY r.book, title, first_page, last_page"""
+ORACLES["library_scan"] = f"""WITH c AS ({BOOKS["catalog_status_left_join"]}), k AS ({ORACLES["document_classification"]}), {_SOURCES},
+b AS (SELECT source_pdf, arg_max({{'kind': kind, 'text_ratio': text_ratio}}, (n_pages, job_key)) AS k FROM k JOIN src USING (job_key) GROUP BY source_pdf)
+SELECT c.*, b.k.kind AS kind, b.k.text_ratio AS text_ratio FROM c LEFT JOIN b USING (source_pdf)"""

@@ -42,7 +42,7 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def remove_intermediate(spark: SparkSession) -> None:
-    """Removes all intermediate tables of the shared folder; call it when results are written."""
+    """Removes the intermediate tables of all sessions from the shared folder; call it when results are written and nothing runs."""
     jvm, root = spark.sparkContext._jvm, f"{shared_folder(spark)}/codexweave"
     path = jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

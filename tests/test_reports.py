@@ -214,6 +214,20 @@ def test_entry_starts_by_both_rules(spark):
     assert (3, "甲虫") in {(r.page_number, r.title) for r in chunks.entry_starts(page(spark, rows), old=False).collect()}
 
 
+def test_entries_of_whole_pages(spark):
+    ranges = spark.createDataFrame([("b", "甲", 1, 2), ("b", "乙", 3, 2), ("b", "丙", 3, 9), ("c", "丁", 1, 1)], "book string, title string, first_page int, last_page int")
+    df = spark.createDataFrame([("b", 2, "二"), ("b", 1, None), ("b", 3, "三"), ("b", 10, "x")], "book string, page_number int, text string")
+    got = {r.title: (r.n_pages, r.text) for r in chunks.entry_texts(ranges, df).collect()}
+    assert got == {"甲": (2, "\n\n二"), "丙": (1, "三")}
+
+
+def test_library_scan_keeps_sources_without_pages(spark):
+    listed = spark.createDataFrame([("/a", 1), ("/b", 2)], "source_pdf string, number int")
+    kinds = spark.createDataFrame([("j", 3, 0.5, "mixed"), ("k", 9, 0.9, "born_digital")], "job_key string, n_pages long, text_ratio double, kind string")
+    made = library.library_scan(listed, kinds, status(spark, [("j", None, "/a", 1, 1, 1, None, 0), ("k", None, "/a", 1, 1, 1, None, 0), ("l", None, "/b", 1, 1, 1, None, 0)]))
+    assert {r.source_pdf: r.kind for r in made.collect()} == {"/a": "born_digital", "/b": None}
+
+
 def test_pieces_of_long_lines_stay_apart(spark):
     got = spark.createDataFrame([("a" * 70 + "\nbbbb\ncc",)], "t string").select(chunks.packed(F.col("t"), 60)).first()[0]
     assert got == ["a" * 60, "a" * 10 + "\n\nbbbb\ncc"]
