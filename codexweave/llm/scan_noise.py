@@ -26,7 +26,7 @@ from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexweave.llm.key_files import KeyFiles, halves, key_files
@@ -39,7 +39,7 @@ CONFUSED = (
     "轶铁 铁轶 士土 土士 夭天 天夭 千干 干千 于干 干于 白自 自白 田由 由田 甲由 申甲 王玉 玉王 主王 万方 方万 几凡 凡几 九丸 丸九 问间 间问 侯候 候侯 晴睛 睛晴 "
     "拔拨 拨拔 徒徙 徙徒 崇祟 戌戍 折拆 拆折 贷货 货贷 沽沾 沾沽 炙灸 壳売 鸟乌 乌鸟 兔免 免兔 今令 令今 体休 休体 住往 往住 代伐 伐代 仑仓 仓仑 竞竟 竟竞 "
     "采釆 乎平 平乎 牛午 午牛 失矢 矢失 夫失 朱未 来未 录晷 短长 小少 少小 丁了 了丁 子孑 亨享 享亨 哀衰 衰哀 密蜜 蜜密 幕墓 墓幕 慕幕 摸模 模摸 载栽 栽载 "
-    "妙纱 纱妙 渡镀 洒酒 酒洒 汗汙 泊油 油泊 治冶 冶治 淮准 准淮 冼洗 冶治 冰水 水氷 永水 木禾 禾木 米来 未米 来米"
+    "妙纱 纱妙 妙抄 抄妙 抄纱 纱抄 渡镀 洒酒 酒洒 汗汙 泊油 油泊 治冶 冶治 淮准 准淮 冼洗 冶治 冰水 水氷 永水 木禾 禾木 米来 未米 来米"
 ).split()
 #: Letters easily misread in Latin words, wrong before right. Fixed values.
 MISREAD = (
@@ -50,6 +50,9 @@ MISREAD = (
 STRAY = "|~^_`'□丨¦\\{}<>*•°¬=+#@¤■◆♦※┃"
 #: Pages and damage of the training sample.
 SAMPLE_PAGES, DAMAGE, EPOCHS, MARGIN = 3000, 0.03, 6, 3.0
+#: How common errors are in the corpus, as shares of the right reading. Damage done on purpose
+#: is new to the corpus, but a page that is read has been counted with its errors.
+RECURRENCE = (0.003, 0.01, 0.02, 0.04)
 #: Places of a line looked at to learn where blanks stand.
 CUTS = 4
 #: How often another reading has to stand in the corpus to be conceivable.
@@ -217,11 +220,19 @@ class Editor:
         self.counts = counts
         self.weights = weights or {}
         self._plain_tokens: set[str] = set()
+        self._recurrence = 0.0
         self._words = lru_cache(maxsize=1 << 16)(self._word)
         self._windows = lru_cache(maxsize=1 << 18)(counts.__getitem__)
         self._readings = lru_cache(maxsize=1 << 17)(self._reading)
         self._blanks = lru_cache(maxsize=1 << 14)(lambda left, right: self.score(_blank_features(left, right)) > 0)
 
+    def _recur(self, share: float) -> None:
+        """From now on takes errors to stand in the corpus themselves, as such a share of the right reading."""
+        self._recurrence = share
+        self._words.cache_clear()
+        self._readings.cache_clear()
+        self._plain_tokens.clear()
+
     def _set(self, weights: dict[str, float]) -> None:
         """Takes new weights; what was scored with others is forgotten."""
         self.weights = weights
@@ -239,6 +250,8 @@ class Editor:
         """The likeliest other reading of a Latin word, with its features."""
         plain = word.casefold()
         own = self.counts[plain]
+        if self._recurrence:
+            own = max(own, 1)
         best = None
         for wrong, right in _MISREAD:
             at = word.find(wrong)
@@ -251,6 +264,7 @@ class Editor:
         if best is None or best[0] < MIN_SUPPORT:
             return None
         n, other, wrong, right = best
+        own = max(own, round(self._recurrence * n))
         d = _ratio(n, own)
         features = ("w", f"w:r{d}", f"w:o{_bin(own)}", f"w:n{_bin(n)}", f"w:o{_bin(own)}n{_bin(n)}", f"w:{wrong}>{right}", f"w:l{min(8, len(word))}", f"w:r{d}l{min(5, len(word))}")
         return other, features, self.score(features)
@@ -266,8 +280,9 @@ class Editor:
                 continue
             new = [a, b, *(self._windows(w) for w in grams[2:])]
             if max(new) >= MIN_SUPPORT and sum(new) > sum(old):
-                d = [_ratio(n, o) for n, o in zip(new, old, strict=True)]
-                features = ("z", *(f"z:{i}r{r}" for i, r in enumerate(d)), f"z:m{min(d)}", f"z:x{max(d)}", f"z:s{d[0]}{d[1]}", f"z:t{d[2]}{min(d[3], d[4])}", f"z:o{_bin(old[2])}n{_bin(new[2])}", f"z:{c}{right}", f"z:{c}{right}{d[2]}")
+                seen = [max(o, 1, round(self._recurrence * n)) for n, o in zip(new, old, strict=True)] if self._recurrence else old
+                d = [_ratio(n, o) for n, o in zip(new, seen, strict=True)]
+                features = ("z", *(f"z:{i}r{r}" for i, r in enumerate(d)), f"z:m{min(d)}", f"z:x{max(d)}", f"z:s{d[0]}{d[1]}", f"z:t{d[2]}{min(d[3], d[4])}", f"z:o{_bin(seen[2])}n{_bin(new[2])}", f"z:{c}{right}", f"z:{c}{right}{d[2]}")
                 out.append((right, features, self.score(features)))
         return tuple(out)
 
@@ -381,6 +396,9 @@ class Editor:
                 key = (i, at, wrong, right)
                 if key in touched or not glaring(features):
                     cases.append((features, key in touched))
+            self._recur(rng.choice(RECURRENCE))
+            cases += [(features, True) for i, at, _, wrong, right, features, _ in self.edits(damaged) if (i, at, wrong, right) in touched]
+            self._recur(0.0)
             intact, breaks = break_words(lines, rng)
             for i, _, features in self.joins(intact):
                 if i in breaks:
@@ -595,6 +613,8 @@ def edge_lines(lines: list[str], book: str | None, titles: dict[str | None, str]
         titles[book] = name_of(line_form(book or ""))
     title = titles[book]
     edge = set(filled[:EDGE] + filled[-EDGE:])
+    if filled:
+        yield 0, "page", 0, ""
     for i in filled:
         line = lines[i]
         if _NUMBER_START.match(line) and (values := numbers_of(line)):
@@ -603,10 +623,14 @@ def edge_lines(lines: list[str], book: str | None, titles: dict[str | None, str]
             if title and abs(len(_NO_LETTER.sub("", line)) - len(title)) <= 12 + len(title) // 12 and alike(name_of(line), title):
                 yield i + 1, "title", 0, title
             elif _CHAPTER.match(line.strip()) and not _SENTENCE.search(line.strip()):
-                yield i + 1, "chapter", 0, name_of(line)
+                yield i + 1, "chapter", int(bool(_NUMBERED.search(line.rstrip()))), name_of(line)
 
 
 _NO_LETTER = re.compile(r"[\W_]+")
+#: Share of pages or names that is most, and the names that such a share is told by at least.
+MOSTLY, MIN_SHOWN = 0.5, 8
+#: A number, or a roman one, behind a name and a gap.
+_NUMBERED = re.compile(r"\s[\s\W_]*(?:\d{1,4}|[ivxl]{1,6})[\s\W_]*$")
 _SENTENCE = re.compile(r"[。！？，；]|[.!?;]\s*$")
 
 
@@ -645,7 +669,10 @@ def furniture(read: DataFrame) -> DataFrame:
 
     A number is its page's own if it stands as far from page_number as most of its job's, or
     is the page's printed_page. A title counts on every page; a chapter's name where an
-    earlier page of the book, in any job, had it, so the first, the chapter's opening, is none.
+    earlier page of the book, in any job, had it or one that differs by a misread character,
+    or where a number stands behind it and other pages have it too; so the first, the
+    chapter's opening, is none. Whether the first of several is an opening at all is told by
+    the names that mostly stand with numbers: if theirs come first with one, so do the others.
     """
     found = read.where("form IS NOT NULL").drop("high", "low", "n")
     numbers = found.where("form in ('arabic', 'roman')").withColumn("offset", F.col("page_number") - F.col("value"))
@@ -655,8 +682,21 @@ def furniture(read: DataFrame) -> DataFrame:
     own = (F.col("offset") == F.col("usual")) | ((F.col("form") == "arabic") & (F.col("value") == F.col("printed")))
     page_numbers = told.where(own).select("page_id", "line_no", F.lit("page_number").alias("kind"))
     chapters = found.where("form = 'chapter'")
-    first = chapters.groupBy("book", "name").agg(F.min("page_number").alias("opening"))
-    running = chapters.join(first, ["book", "name"]).where("page_number > opening")
+    names = chapters.groupBy("book", "name").agg(
+        F.min("page_number").alias("opening"), F.max("page_number").alias("last"), F.count_distinct("page_number").alias("n"), F.avg("value").alias("numbered"),
+        F.max_by("value", -F.col("page_number")).alias("first_numbered"),
+    )
+    order = Window.partitionBy("book").orderBy("opening", "name")  # one narrow row a name
+    seen = found.where("form = 'page'").select("book", (F.col("page_number") + 1).alias("opening")).distinct().withColumn("seen", F.lit(True))
+    names = names.select("*", F.lag("name").over(order).alias("before")).join(seen, ["book", "opening"], "left")
+    names = materialised(names.withColumn("is_first", F.col("before").isNull() & F.col("seen").isNull()), "chapter-names")
+    # where most heads have numbers it shows whether names come up first as heads: a book's first, on its first page, or others
+    shown = names.where(f"n >= 3 AND numbered >= {MOSTLY}").groupBy("is_first").agg(F.avg("first_numbered").alias("share"), F.count("*").alias("n"))
+    as_heads = [r.is_first for r in shown.collect() if r.share >= MOSTLY and r.n >= MIN_SHOWN]  # two rows at most
+    misread = F.coalesce(F.levenshtein("name", "before") <= F.greatest(F.lit(1), F.floor(F.length("name") / 10)), F.lit(False))
+    opens = ~F.col("is_first").isin(*as_heads) if as_heads else F.lit(True)
+    told = names.select("book", "name", "opening", "last", misread.alias("misread"), opens.alias("opens"))
+    running = chapters.join(told, ["book", "name"]).where("page_number > opening OR value = 1 AND last > opening OR misread OR last > opening AND NOT opens")
     heads = running.select("page_id", "line_no").unionByName(found.where("form = 'title'").select("page_id", "line_no"))
     return page_numbers.unionByName(heads.withColumn("kind", F.lit("header"))).distinct()
 

@@ -381,6 +381,32 @@ def test_scan_noise(spark):
     assert "A Book of Mills" not in text[1] and text[500] is None and text[501] == ""
 
 
+def test_heads_and_openings(spark):
+    words = ["灯塔", "磨坊", "水车", "铁匠", "石匠", "木桶", "草席", "渔网", "药柜", "书架", "盐田", "丝线"]
+    rows, want = [], set()
+
+    def put(book, number, line, head=True):
+        page = len(rows) + 1
+        rows.append((page, f"j{book}", f"书{book}号之志", number, None, f"{line}\n据载守塔人与石匠已经把东西搬走。\n守塔人说今日无事可记。", T0, "c", "c", 1))
+        if head:
+            want.add((page, 1))
+
+    for book, word in enumerate(words[:10]):  # numbered heads from the first page on, openings without a number
+        for number in (1, 3, 5):
+            put(book, number, f"第1章 {word}与钟楼 {number}")
+        put(book, 6, f"第2章 {word}之用途", False)
+        for number in (7, 9):
+            put(book, number, f"第2章 {word}之用途　{number}")
+    put(90, 1, "第1章 帆布与渡船")  # a first name without numbers is a head as well
+    put(90, 3, "第1章 帆布与渡船")
+    put(91, 4, "正文而已", False)
+    put(91, 5, "第3章 帆布与渡船之来历", False)  # but not after a page that was read without one
+    put(91, 7, "第3章 帆布与渡船之来历")
+    put(91, 8, "第3章 帆巾与渡船之来历")  # a misread character makes no new chapter
+    got = {(r.page_id, r.line_no) for r in scan_noise.furniture(scan_noise.read_pages(spark.createDataFrame(rows, PAGE))).where("kind = 'header'").collect()}
+    assert got == want
+
+
 def test_counts_of_a_large_vocabulary_are_exact(spark):
     def word(n):
         return "".join(chr(97 + n // 26**k % 26) for k in range(5))
