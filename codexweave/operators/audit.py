@@ -28,7 +28,7 @@ def page_counters(pages: DataFrame) -> DataFrame:
     failed = F.exists(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: w.startswith("识别过程出错"))
     low = ~blank & (F.coalesce("confidence", F.lit(0.0)) < P.LOW_CONFIDENCE)
     flags = P.known_pages(pages).select("page_id", "job_key", empty.alias("empty"), blank.alias("blank"), failed.alias("failed"), low.alias("low"), F.length("text").alias("chars"))
-    return flags.dropDuplicates(["page_id"]).groupBy("job_key").agg(
+    return P.one_row_each(flags).groupBy("job_key").agg(
         F.count("*").alias("n_pages"),
         F.count_if(~F.col("empty")).alias("text_pages"),
         F.count_if("blank").alias("blank_pages"),
@@ -52,7 +52,7 @@ def issue_pages(pages: DataFrame) -> DataFrame:
             F.when(F.col("is_illustration"), F.lit("illustration")),
         )
     )
-    return featured.select("job_key", "page_id", "page_number", problems.alias("problems")).where(F.size("problems") > 0).dropDuplicates(["page_id"])
+    return P.one_row_each(featured.select("job_key", "page_id", "page_number", problems.alias("problems"))).where(F.size("problems") > 0)
 
 
 def job_audit(pages: DataFrame, job_status: DataFrame) -> DataFrame:
@@ -75,10 +75,10 @@ def job_evidence(pages: DataFrame, job_status: DataFrame, quality: DataFrame, no
     blank = F.coalesce(F.col("source") == "blank_page", F.lit(False))
     low = ~blank & (F.coalesce("confidence", F.lit(0.0)) < P.LOW_CONFIDENCE)
     featured = P.with_features(P.known_pages(pages).select("job_key", "page_id", "page_number", "text", "confidence", "source"))
-    flags = featured.select(
+    flags = P.one_row_each(featured.select(
         "job_key", "page_id", low.alias("low"), (low & F.col("is_dense_index")).alias("protected"), (~blank & empty).alias("empty"),
         (F.col("is_diagram") & (F.col("n_noise_lines") >= 2)).alias("residual"), F.col("is_illustration").alias("illustration"),
-    ).dropDuplicates(["page_id"])
+    ))
     counts = flags.groupBy("job_key").agg(
         F.count_if("low").alias("low_confidence_pages"), F.count_if("protected").alias("protected_pages"), F.count_if("empty").alias("blank_pages"),
         F.count_if("residual").alias("residual_pages"), F.count_if("illustration").alias("illustration_pages"),

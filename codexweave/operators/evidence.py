@@ -79,7 +79,7 @@ def reviews(pages: DataFrame) -> DataFrame:
         P.already_upgraded(F.col("warnings")).alias("is_upgraded"),
         P.needs_rotation(F.col("confidence"), F.col("warnings")).alias("needs_rotation"),
     )
-    return rows.dropDuplicates(["page_id"])
+    return P.one_row_each(rows)
 
 
 def reading(confidence: Column, text: Column) -> Column:

@@ -30,6 +30,19 @@ def known_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("page_id").isNotNull())
 
 
+#: More partitions than any input has, so that a coalesce to so many moves nothing.
+_ALL_PARTITIONS = 1 << 24
+
+
+def one_row_each(derived: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per key of columns derived from re-delivered rows, which are equal.
+
+    The step between keeps the optimizer from writing the columns' expressions into the
+    aggregation, where what they share would be worked out again for each of them.
+    """
+    return derived.coalesce(_ALL_PARTITIONS).dropDuplicates([key])
+
+
 def with_features(pages: DataFrame) -> DataFrame:
     """Adds text_chars, n_lines and the shape tests of each page; null text counts as empty."""
     text = F.coalesce("text", F.lit(""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codexweave.functions import text as T
 from codexweave.operators import audit, capacity, chunks, classify, history, layout, library, pages, rates, rules
 from codexweave.sources import sinks
-from codexweave.sources.tables import table
+from codexweave.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,15 +88,15 @@ def audit_jobs(spark, d):
 
 @_query
 def page_features(spark, d):
-    rows = pages.with_features(pages.known_pages(table(spark, d, "pages")).select("page_id", "page_number", "text"))
-    return rows.drop("text", "page_number").dropDuplicates(["page_id"])
+    rows = pages.with_features(spread(pages.known_pages(table(spark, d, "pages")).select("page_id", "page_number", "text")))
+    return pages.one_row_each(rows.drop("text", "page_number"))
 
 
 @_query
 def page_quality_warnings(spark, d):
-    rows = pages.known_pages(table(spark, d, "pages")).select("page_id", "page_number", "text", "confidence", "source")
+    rows = spread(pages.known_pages(table(spark, d, "pages")).select("page_id", "page_number", "text", "confidence", "source"))
     featured = pages.with_features(rows)
-    return featured.select("page_id", F.array_join(pages.quality_warnings(featured), ",").alias("warnings")).dropDuplicates(["page_id"])
+    return pages.one_row_each(featured.select("page_id", F.array_join(pages.quality_warnings(featured), ",").alias("warnings")))
 
 
 @_query
@@ -117,15 +117,16 @@ def text_cleanup(spark, d):
 
 @_query
 def garble_scores(spark, d):
-    rows = pages.known_pages(table(spark, d, "pages"))
-    return rows.select("page_id", T.garble_score(F.col("text")).alias("garble")).dropDuplicates(["page_id"])
+    rows = spread(pages.known_pages(table(spark, d, "pages")).select("page_id", "text"))
+    return pages.one_row_each(rows.select("page_id", T.garble_score(F.col("text")).alias("garble")))
 
 
 @_query
 def document_classification(spark, d):
     scanned = ~F.col("source").isin("pdf_text_layer", "existing_ocr_text_layer")
-    told = classify.page_reports(pages.known_pages(table(spark, d, "pages")), scanned)
-    return classify.document_kinds(told.dropDuplicates(["page_id"]))
+    rows = spread(pages.known_pages(table(spark, d, "pages")).select("page_id", "job_key", "page_number", "text", "source"))
+    told = classify.page_reports(rows, scanned)
+    return classify.document_kinds(pages.one_row_each(told))
 
 
 @_query
