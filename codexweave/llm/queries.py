@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codexweave.llm import corpus_tokens, encodings, leakage, lookalikes, repeated_lines, scan_noise, splitting, text_stats
-from codexweave.sources.tables import table
+from codexweave.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +20,16 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "pages"), table(spark, sf_dir, "job_status"))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "job_key", "book", "page_number", "printed_page", "text"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_noise.noise(table(spark, sf_dir, "pages"))
+    return scan_noise.noise(_scanned(spark, sf_dir))
 
 
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_noise.repaired(table(spark, sf_dir, "pages"))
+    return scan_noise.repaired(_scanned(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encodings.wrongly_decoded(table(spark, sf_dir, "pages"))
+    return encodings.wrongly_decoded(spread(table(spark, sf_dir, "pages").select("page_id", "text")))
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_stats.structured(table(spark, sf_dir, "documents"))
+    return text_stats.structured(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

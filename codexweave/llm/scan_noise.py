@@ -216,23 +216,16 @@ class Editor:
     text is kept.
     """
 
-    def __init__(self, counts: Counts, weights: dict[str, float] | None = None) -> None:
+    def __init__(self, counts: Counts, weights: dict[str, float] | None = None, recurrence: float = 0.0) -> None:
         self.counts = counts
         self.weights = weights or {}
         self._plain_tokens: set[str] = set()
-        self._recurrence = 0.0
+        self._recurrence = recurrence  # errors are taken to stand in the corpus, as such a share of the right reading
         self._words = lru_cache(maxsize=1 << 16)(self._word)
         self._windows = lru_cache(maxsize=1 << 18)(counts.__getitem__)
         self._readings = lru_cache(maxsize=1 << 17)(self._reading)
         self._blanks = lru_cache(maxsize=1 << 14)(lambda left, right: self.score(_blank_features(left, right)) > 0)
 
-    def _recur(self, share: float) -> None:
-        """From now on takes errors to stand in the corpus themselves, as such a share of the right reading."""
-        self._recurrence = share
-        self._words.cache_clear()
-        self._readings.cache_clear()
-        self._plain_tokens.clear()
-
     def _set(self, weights: dict[str, float]) -> None:
         """Takes new weights; what was scored with others is forgotten."""
         self.weights = weights
@@ -389,6 +382,7 @@ class Editor:
     def train(self, pages: list[list[str]], seed: int = 7) -> None:
         """Fits the weights to pages damaged on purpose; what was not touched is to be kept."""
         rng = random.Random(seed)
+        recurring = [Editor(self.counts, recurrence=share) for share in RECURRENCE]
         cases = []
         for lines in pages:
             damaged, touched = damage(lines, rng)
@@ -396,9 +390,9 @@ class Editor:
                 key = (i, at, wrong, right)
                 if key in touched or not glaring(features):
                     cases.append((features, key in touched))
-            self._recur(rng.choice(RECURRENCE))
-            cases += [(features, True) for i, at, _, wrong, right, features, _ in self.edits(damaged) if (i, at, wrong, right) in touched]
-            self._recur(0.0)
+            hit = {mark[0] for mark in touched}
+            again = rng.choice(recurring).edits([line if i in hit else "" for i, line in enumerate(damaged)])
+            cases += [(features, True) for i, at, _, wrong, right, features, _ in again if (i, at, wrong, right) in touched]
             intact, breaks = break_words(lines, rng)
             for i, _, features in self.joins(intact):
                 if i in breaks:
