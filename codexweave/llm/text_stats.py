@@ -5,10 +5,11 @@ common and rare letters, digits, punctuation, symbols, blanks), half over forms
 its columns, bullets, leaders, references or unreadable characters make it look like, in the
 company of the lines around it). It is put to the nearest of the structural profiles - prose
 of each language, lists, tables, junk - by Jensen-Shannon divergence, and a document is of the
-kind that has more than half of its characters. The profiles are fitted on a bounded sample of
-documents: averages over lines whose form is plain, with typed-in priors for kinds that the
-sample has few of. How common each character is comes from counting the whole corpus first
-(one row per code point, so bounded).
+kind that has more than half of its characters. The profiles are fitted on all documents:
+averages over the lines that have a form, with typed-in priors for kinds that the corpus has
+few of. How common each character is comes from counting the whole corpus first (one row per
+code point, so bounded). Texts are described once: what the profiles are fitted on and what is
+put to them afterwards is kept in an intermediate table of counts.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexweave.llm.leakage import gram_hashes, span_hashes
+from codexweave.sources.tables import materialised
 
 #: Function words by language. Fixed values.
 FUNCTION_WORDS = {
@@ -49,8 +51,8 @@ PROFILES = {
     "junk-letters": ((0.00, 0.25, 0.50, 0.12, 0.05, 0.06, 0.02), "junk"),
     "junk-symbols": ((0.00, 0.05, 0.20, 0.10, 0.25, 0.30, 0.10), "junk"),
 }
-#: Documents the profiles are fitted on at most, and the characters a prior counts for.
-FIT_DOCUMENTS, PRIOR_CHARS = 3000, 3000.0
+#: Characters a prior counts for.
+PRIOR_CHARS = 3000.0
 #: A line shorter than this is judged by the characters of all its document's plain lines.
 SHORT_LINE = 40
 #: Bits from which a character is rare, a gram's length and the repeated share of junk.
@@ -324,7 +326,7 @@ def nearest(lines: np.ndarray, profiles: np.ndarray, among: list[int] | None = N
 
 
 class Described(NamedTuple):
-    """What is known of a batch of documents: per line its document, length and counts, per document its lines."""
+    """What is known of the lines of a batch of documents: each one's document, length, counts and form."""
 
     owner: np.ndarray
     sizes: np.ndarray
@@ -332,43 +334,53 @@ class Described(NamedTuple):
     words: np.ndarray
     letters: np.ndarray
     ended: np.ndarray
-    lines: np.ndarray
+    forms: np.ndarray
 
 
 def described(texts: list[str | None], costs: np.ndarray, table: np.ndarray) -> Described:
-    """Distributions of all lines of a batch of documents; blank documents have none."""
+    """The lines of a batch of documents; blank documents have none."""
     owner, lines, forms = [], [], []
     for d, text in enumerate(texts):
         if text and (mine := lines_in(text)):
             owner += [d] * len(mine)
             lines += mine
             forms += forms_of(mine, costs)
-    owner, forms = np.array(owner, int), np.array(forms, int)
     counts, words, letters = class_counts(lines, table)
-    plain = forms == _FORM_AT["plain"]
-    block = np.zeros((len(texts), len(CLASSES)))
-    np.add.at(block, owner[plain], counts[plain])
     sizes = np.array([len(line) for line in lines], int)
-    short = plain & (sizes < SHORT_LINE)
-    told = np.where(short[:, None], block[owner], counts)
     ended = np.array([bool(_END.search(line)) for line in lines], bool)
-    return Described(owner, sizes, counts, words, letters, ended, vectors(told, forms))
+    return Described(np.array(owner, int), sizes, counts, words, letters, ended, np.array(forms, int))
 
 
-def shares_of(texts: list[str | None], found: Described, profiles: np.ndarray) -> np.ndarray:
-    """Share of each document's characters in prose, list, table and junk."""
-    kinds = np.array([("prose", "list", "table", "junk").index(k) for k in _KIND_OF])[nearest(found.lines, profiles)] if len(found.owner) else np.zeros(0, int)
-    shares = np.bincount(found.owner * 4 + kinds, found.sizes + 1.0, minlength=4 * len(texts)).reshape(-1, 4)
+def form_sums(found: Described) -> np.ndarray:
+    """Characters by class of the lines that have a form, each at the profile of that form whose prior is nearest."""
+    sums, priors = np.zeros((len(PROFILES), len(CLASSES)), np.int64), prior_profiles()
+    for form, name in enumerate(FORMS[:-1]):
+        mine = np.flatnonzero(found.forms == form)
+        among = [i for i, kind in enumerate(_KIND_OF) if kind == name]
+        at = nearest(vectors(found.counts[mine], found.forms[mine]), priors, among)
+        for i in among:
+            sums[i] = found.counts[mine[at == i]].sum(0)
+    return sums
+
+
+def shares_of(formed: np.ndarray, owner: np.ndarray, plain: np.ndarray, again: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """Share of each document's characters in prose, list, table and junk.
+
+    ``formed`` has the characters of each document's lines by form, ``owner`` and ``plain`` the
+    documents and counts of the lines without one. A line that has a form needs no profile: it
+    is at most half a bit from those of its form and at least half a bit from all others.
+    """
+    n, sizes = len(formed), plain.sum(1)
+    block = np.zeros((n, len(CLASSES)))
+    np.add.at(block, owner, plain)
+    told = np.where((sizes < SHORT_LINE)[:, None], block[owner], plain)
+    kinds = np.array([FORMS.index(k) for k in _KIND_OF])[nearest(vectors(told, np.full(len(plain), _FORM_AT["plain"])), profiles)]
+    shares = formed + np.bincount(owner * 4 + kinds, sizes + 1.0, minlength=4 * n).reshape(-1, 4)
     shares /= np.maximum(1.0, shares.sum(1, keepdims=True))
-    forms = found.lines[:, len(CLASSES) :].argmax(1)
-    formed = np.isin(forms, (_FORM_AT["list"], _FORM_AT["table"]))
-    ordered = np.bincount(found.owner[formed], found.sizes[formed] + 1.0, minlength=len(texts))
-    total = np.bincount(found.owner, found.sizes + 1.0, minlength=len(texts))
-    for d in np.flatnonzero(ordered < ORDERED * total).tolist():  # lists and tables repeat themselves
-        if again := endless(texts[d]):
-            junk = max(again, shares[d, 3])
-            shares[d] *= 1 - again
-            shares[d, 3] = junk
+    for d in np.flatnonzero(again).tolist():
+        junk = max(again[d], shares[d, 3])
+        shares[d] *= 1 - again[d]
+        shares[d, 3] = junk
     return shares
 
 
@@ -403,37 +415,71 @@ def char_bits(texts: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sums(costs) -> object:
+_FORMED = FORMS[:-1]
+#: Of a document (no profile): characters by class and, a line break each included, by form; counts by class of the
+#: lines without a form; what ``endless`` says; lines, words, letters and ended lines; ``repeated_share``. Of a profile
+#: (no document): characters by class of the lines it is fitted on.
+MEASURED = ", ".join(["doc_id long, profile int", *(f"`{c}` long" for c in (*CLASSES, *_FORMED)), "plain binary, again double, n_lines long, n_words long, n_letters long, n_ended long, repeated double"])
+_MEASURED = pa.schema([("doc_id", pa.int64()), ("profile", pa.int32()), *((c, pa.int64()) for c in (*CLASSES, *_FORMED)), ("plain", pa.binary()), ("again", pa.float64()), *((c, pa.int64()) for c in ("n_lines", "n_words", "n_letters", "n_ended")), ("repeated", pa.float64())])
+
+
+def measures(texts: list[str | None], found: Described, kinds_only: bool) -> dict:
+    """MEASURED of a batch of documents, but for their ids."""
+    n = len(texts)
+    counts = np.zeros((n, len(CLASSES)))
+    np.add.at(counts, found.owner, found.counts)
+    sizes = found.sizes + 1.0
+    chars = np.bincount(found.owner * len(FORMS) + found.forms, sizes, minlength=len(FORMS) * n).reshape(n, -1)
+    ordered, again = chars[:, _FORM_AT["list"]] + chars[:, _FORM_AT["table"]], np.zeros(n)
+    for d in np.flatnonzero(ordered < ORDERED * chars.sum(1)).tolist():  # lists and tables repeat themselves
+        again[d] = endless(texts[d])
+    bare = found.forms == _FORM_AT["plain"]
+    plain = found.counts[bare].astype(np.int32)
+    ends = np.cumsum(np.bincount(found.owner[bare], minlength=n)).tolist()
+    lines = np.bincount(found.owner, minlength=n)
+    words, letters, ended = (np.bincount(found.owner, of, minlength=n) for of in (found.words, found.letters, found.ended))
+    return {
+        **{c: counts[:, i].astype(np.int64) for i, c in enumerate(CLASSES)}, **{f: chars[:, i].astype(np.int64) for i, f in enumerate(_FORMED)},
+        "plain": [plain[a:b].tobytes() for a, b in zip([0, *ends], ends)], "again": again,
+        "n_lines": lines, "n_words": words.astype(np.int64), "n_letters": letters.astype(np.int64), "n_ended": ended.astype(np.int64),
+        "repeated": None if kinds_only else [repeated_share(text) if some else None for text, some in zip(texts, lines.tolist(), strict=True)],
+    }
+
+
+def _rows(n: int, columns: dict) -> pa.RecordBatch:
+    """``n`` rows of MEASURED; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if (c := columns.get(f.name)) is None else pa.array(c, f.type) for f in _MEASURED], schema=_MEASURED)
+
+
+def _measure(costs, kinds_only: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = costs.value
-        table, profiles = class_table(bits), prior_profiles()
+        table, sums = class_table(bits), np.zeros((len(PROFILES), len(CLASSES)), np.int64)
         for batch in batches:
-            found = described(batch.column(0).to_pylist(), bits, table)
-            rows = []
-            if len(found.owner):
-                told = found.lines[:, len(CLASSES) :].argmax(1)
-                for form, name in enumerate(FORMS[:-1]):
-                    mine = np.flatnonzero(told == form)
-                    among = [i for i, kind in enumerate(_KIND_OF) if kind == name]
-                    at = nearest(found.lines[mine], profiles, among)
-                    for i in among:
-                        chars = found.counts[mine[at == i]].sum(0)
-                        rows.append((i, *chars.tolist()))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], ["profile", *CLASSES])
+            for at in range(0, batch.num_rows, BATCH):
+                ids, texts = batch.column("doc_id").slice(at, BATCH), batch.column("text").slice(at, BATCH).to_pylist()
+                found = described(texts, bits, table)
+                sums += form_sums(found)
+                yield _rows(len(texts), {"doc_id": ids} | measures(texts, found, kinds_only))
+        yield _rows(len(sums), {"profile": np.arange(len(sums)), **{c: sums[:, i] for i, c in enumerate(CLASSES)}})
 
     return run
 
 
-def fitted_profiles(documents: DataFrame, costs) -> np.ndarray:
-    """The profiles' classes as averages over at most FIT_DOCUMENTS documents' lines of plain form.
+def measured(documents: DataFrame, kinds_only: bool) -> DataFrame:
+    """MEASURED of every document, and of every profile once for each partition, as an intermediate table."""
+    costs = documents.sparkSession.sparkContext.broadcast(char_bits(documents.select("text")))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialised(rows.mapInArrow(_measure(costs, kinds_only), MEASURED), "text-measures")
+
+
+def fitted_profiles(table: DataFrame) -> np.ndarray:
+    """The profiles' classes as averages over the lines of all documents that have a form.
 
     Each such line goes to the profile of its form whose prior it is nearest to; a prior
-    counts as PRIOR_CHARS characters, so a kind the sample lacks keeps it.
+    counts as PRIOR_CHARS characters, so a kind the corpus lacks keeps it.
     """
-    sample = documents.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS).select("text")
-    schema = ", ".join(["profile int", *(f"`{c}` double" for c in CLASSES)])
-    sums = sample.mapInArrow(_sums(costs), schema).groupBy("profile").agg(*[F.sum(c).alias(c) for c in CLASSES]).collect()
+    sums = table.where(F.col("profile").isNotNull()).groupBy("profile").agg(*[F.sum(c).alias(c) for c in CLASSES]).collect()
     profiles = prior_profiles()
     for row in sums:
         chars = np.array(row[1:]) + PRIOR_CHARS * 2 * profiles[row[0], : len(CLASSES)]
@@ -445,40 +491,39 @@ STATS = "kind string, n_words int, mean_word_length double, symbol_share double,
 _TYPES = [pa.string(), pa.int32(), *[pa.float64()] * 6, pa.string()]
 
 
-def statistics(texts: list[str | None], found: Described, profiles: np.ndarray) -> list[tuple]:
-    """STATS of a batch of documents."""
-    n = len(texts)
-    counts = np.zeros((n, len(CLASSES)))
-    np.add.at(counts, found.owner, found.counts)
-    lines = np.bincount(found.owner, minlength=n)
-    words, letters, ended = (np.bincount(found.owner, of, minlength=n) for of in (found.words, found.letters, found.ended))
+def statistics(batch: pa.RecordBatch, kinds: list[str | None], profiles: np.ndarray) -> list[tuple]:
+    """STATS of a batch of MEASURED documents whose kinds are given."""
+    counts = _numbers(batch, CLASSES)
     shares = counts / np.maximum(1.0, counts.sum(1, keepdims=True))
     far = divergence(shares[:, None, :], 2 * profiles[_PROSE][None, :, : len(CLASSES)])
-    kinds = kinds_of(shares_of(texts, found, profiles))
     out = []
-    for d, text in enumerate(texts):
-        if not lines[d]:
+    for d, (lines, words, letters, ended, again) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_lines", "n_words", "n_letters", "n_ended", "repeated")), strict=True)):
+        if not lines:
             out.append((None, 0, None, None, None, None, None, None, None))
             continue
-        mean = float(letters[d] / words[d]) if words[d] else None
+        mean = letters / words if words else None
         language = _NAMES[_PROSE[int(far[d].argmin())]].partition("-")[2]
-        out.append((kinds[d] or "prose", int(words[d]), mean, float(shares[d, 5]), float(shares[d, 3]), float(ended[d] / lines[d]), float(shares[d, 0]), repeated_share(text), language))
+        out.append((kinds[d] or "prose", words, mean, float(shares[d, 5]), float(shares[d, 3]), ended / lines, float(shares[d, 0]), again, language))
     return out
 
 
+def _numbers(batch: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
+
+
 def _describe(model, kinds_only: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, profiles = model.value
-        table = class_table(bits)
+        profiles = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                ids, texts = batch.column("doc_id").slice(at, BATCH), batch.column("text").slice(at, BATCH).to_pylist()
-                found = described(texts, bits, table)
-                if kinds_only:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(kinds_of(shares_of(texts, found, profiles)), pa.string())], ["doc_id", "kind"])
-                    continue
-                columns = list(zip(*statistics(texts, found, profiles), strict=True)) or [()] * len(_TYPES)
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]], ["doc_id", *(c.split()[0] for c in STATS.split(", "))])
+            packed = batch.column("plain").to_pylist()
+            plain = np.frombuffer(b"".join(packed), np.int32).reshape(-1, len(CLASSES)).astype(np.float64)
+            owner = np.repeat(np.arange(len(packed)), [len(p) // (4 * len(CLASSES)) for p in packed])
+            kinds = kinds_of(shares_of(_numbers(batch, _FORMED), owner, plain, batch.column("again").to_numpy(), profiles))
+            if kinds_only:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kinds, pa.string())], ["doc_id", "kind"])
+                continue
+            columns = list(zip(*statistics(batch, kinds, profiles), strict=True)) or [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]], ["doc_id", *(c.split()[0] for c in STATS.split(", "))])
 
     return run
 
@@ -489,10 +534,11 @@ ORDERED = 0.7
 BATCH = 500
 
 
-def _model(documents: DataFrame):
-    context = documents.sparkSession.sparkContext
-    bits = char_bits(documents.select("text"))
-    return context.broadcast((bits, fitted_profiles(documents.select("doc_id", "text"), context.broadcast(bits))))
+def _told(documents: DataFrame, kinds_only: bool) -> tuple[DataFrame, object]:
+    """The measured documents, and what puts them to the profiles fitted on them."""
+    table = measured(documents, kinds_only)
+    model = documents.sparkSession.sparkContext.broadcast(fitted_profiles(table))
+    return table.where(F.col("profile").isNull()), _describe(model, kinds_only)
 
 
 def document_statistics(documents: DataFrame) -> DataFrame:
@@ -500,8 +546,8 @@ def document_statistics(documents: DataFrame) -> DataFrame:
 
     A word is a run of letters of an alphabet, or one ideograph or kana.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_describe(_model(documents), False), f"doc_id long, {STATS}")
+    rows, describe = _told(documents, False)
+    return rows.mapInArrow(describe, f"doc_id long, {STATS}")
 
 
 def structured(documents: DataFrame) -> DataFrame:
@@ -509,6 +555,7 @@ def structured(documents: DataFrame) -> DataFrame:
 
     Each doc_id once; prose of any kind and empty or null texts are left out.
     """
-    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_describe(_model(documents), True), "doc_id long, kind string").where(F.col("kind").isNotNull())
+    rows, describe = _told(documents, True)
+    rows = rows.where(F.col("doc_id").isNotNull()).select("doc_id", *_FORMED, "plain", "again")
+    found = rows.mapInArrow(describe, "doc_id long, kind string").where(F.col("kind").isNotNull())
     return found.groupBy("doc_id").agg(F.min("kind").alias("kind"))

@@ -330,6 +330,29 @@ def test_structure_of_documents(spark):
     assert stats[1].n_words == 2 * sum("一" <= c <= "鿿" for c in prose) and stats[1].mean_word_length == 1.0
 
 
+def test_profiles_are_fitted_on_every_document(spark):
+    """A few documents among thousands tell what a language looks like, wherever they stand."""
+    ids = [r.id for r in spark.range(3100).orderBy(F.xxhash64("id"), "id").collect()]
+
+    def line(function, others):
+        return " ".join(["the"] * function + ["kormills"] * others)
+
+    def languages(heavy):
+        rows = [(ids[0], line(10, 13))] + [(i, "x") for i in ids[1:3050]] + [(i, "\n".join([line(10, 10)] * 40)) for i in heavy]
+        return {r.doc_id: r.nearest_language for r in text_stats.document_statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    assert languages([])[ids[0]] == "de"
+    assert languages(ids[3050:])[ids[0]] == "en" == languages([i + 10**6 for i in ids[:50]])[ids[0]]
+
+
+def test_lines_with_a_form_are_nearest_to_profiles_of_that_form():
+    rng = np.random.default_rng(4)
+    counts, forms = rng.integers(0, 9, (400, 7)) * (rng.random((400, 7)) < 0.3) + np.eye(7, dtype=int)[rng.integers(0, 7, 400)], rng.integers(0, 4, 400)
+    profiles = text_stats.prior_profiles()
+    kinds = [text_stats._KIND_OF[i] for i in text_stats.nearest(text_stats.vectors(counts, forms), profiles)]
+    assert kinds == [text_stats.FORMS[f] for f in forms]
+
+
 def test_class_counts_like_a_plain_count():
     lines = ["The mill of 1846, and Der Müller!", "据1846年的水闸记载，守塔人。", "", "a b|c", "x" * 50]
     table = text_stats.class_table(np.zeros(0x110000, np.float32))
